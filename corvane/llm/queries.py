@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import cooccurrence, packing, repetition, splitting, tokens
+from . import cooccurrence, names, packing, repetition, splitting, tokens
 
 
 def p2_found(s: SparkSession, d: str) -> DataFrame:
@@ -17,6 +17,19 @@ def p2_pieces(s: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(s, d, "text_units"), oversized_only=True)
 
 
+def _people(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    people = table(s, d, "entities").where("type = 'PERSON'").select("id", "name", "aliases", "metadata", "frequency")
+    return people, table(s, d, "commits").select("author_name", "author_email")
+
+
+def p4_found(s: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(names.variants(*_people(s, d)))
+
+
+def p4_members(s: SparkSession, d: str) -> DataFrame:
+    return names.variants(*_people(s, d))
+
+
 def p5_found(s: SparkSession, d: str) -> DataFrame:
     pairs, n = cooccurrence.commit_baskets(table(s, d, "commits"))
     found = cooccurrence.pair_counts(pairs, 6).where("100 * n_ab * n_ab >= 9 * n_a * n_b").where(F.col("n_ab") * n >= 3 * F.col("n_a") * F.col("n_b"))
@@ -61,7 +74,7 @@ def p9_shares(s: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", "n_words", F.round(repetition.share("words_6", "n_words"), 6).alias("word_share"), *[F.round(repetition.share(f"chars_{n}", "n_chars"), 6).alias(f"char_share_{n}") for n in (3, 6, 12)], F.round(repetition.share("line_rep", "line_chars"), 6).alias("line_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p5_found, p5_pairs, p7_ids, p7_decoded, p8_packed, p8_sizes, p8_fill, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_members, p5_found, p5_pairs, p7_ids, p7_decoded, p8_packed, p8_sizes, p8_fill, p9_found, p9_shares)}
 
 _BASKETS = r"""
 with merge as (select distinct hash from commits where len(parent_hashes) > 1),
