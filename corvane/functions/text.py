@@ -22,7 +22,8 @@ def norm_key(c: Column | str) -> Column:
 def instant(c: Column | str) -> Column:
     """ISO spellings of an instant as a timestamp. Without a zone the value is UTC; blank or unreadable gives null."""
     raw = F.upper(F.btrim(col(c), F.lit(BLANKS)))
-    zoned = F.when(raw.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), raw).otherwise(F.concat(raw, F.lit("Z")))
+    day = raw.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    zoned = F.when(day, F.concat(raw, F.lit("T00:00:00Z"))).when(raw.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), raw).otherwise(F.concat(raw, F.lit("Z")))
     # ±hhmm is read as ±hh:mm
     return F.regexp_replace(zoned, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import records
+from . import build, questions, records
 
-_MODULES = [records]
+_MODULES = [questions, build, records]
 
 
 def queries() -> dict:
