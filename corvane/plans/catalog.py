@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import build, questions, records
+from . import build, questions, records, retrieval
 
-_MODULES = [questions, build, records]
+_MODULES = [questions, build, retrieval, records]
 
 
 def queries() -> dict:
