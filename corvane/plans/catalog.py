@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import build, questions, records, retrieval
+from . import algorithms, build, questions, records, retrieval
 
-_MODULES = [questions, build, retrieval, records]
+_MODULES = [questions, build, retrieval, algorithms, records]
 
 
 def queries() -> dict:
