@@ -18,7 +18,7 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import instant
@@ -28,6 +28,11 @@ from . import intervals
 LANES = 4096
 
 
+def _oldest() -> Column:
+    """Stands for a missing instant, before all others."""
+    return F.timestamp_micros(F.lit(-(1 << 62)))
+
+
 def versions(records: DataFrame, handled: DataFrame, key: str = "hash", at: str = "indexed_at") -> DataFrame:
     """(key, digest, at, done, newest): one row per distinct content of a key.
 
@@ -35,7 +40,7 @@ def versions(records: DataFrame, handled: DataFrame, key: str = "hash", at: str
     the latest instant of that content. The digest covers every column but the instant.
     """
     content = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns if c != at])), 256))
-    null_at = F.timestamp_micros(F.lit(-(1 << 62)))
+    null_at = _oldest()
     rows = (
         records.where(F.col(key).isNotNull())
         .select(F.col(key).alias("key"), content.alias("digest"), F.coalesce(instant(at), null_at).alias("at"))
@@ -64,7 +69,7 @@ def pending(records: DataFrame, handled: DataFrame, key: str = "hash", at: str =
     closed = intervals.from_points(items.where("done or not newest"))
     available = items.groupBy("lane").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     gaps = intervals.subtract(available, closed)
-    return intervals.inside(items, gaps).select("key", "digest", "at")
+    return intervals.inside(items, gaps).select("key", "digest", F.when(F.col("at") != _oldest(), F.col("at")).alias("at"))
 
 
 class Ledger:
