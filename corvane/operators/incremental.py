@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import instant
+from ..session import cut
 from . import intervals
 
 #: Lanes of the sequence. Each is sorted by one task; more lanes than tasks cost nothing.
@@ -33,22 +34,33 @@ def _oldest() -> Column:
     return F.timestamp_micros(F.lit(-(1 << 62)))
 
 
+def _packed(c: Column) -> Column:
+    """A key as bytes without loss: hexadecimal keys at half their length, others as they are."""
+    hexes = c.rlike("^([0-9a-f]{2})+$")
+    return F.when(hexes, F.concat(F.unhex(F.lit("01")), F.unhex(c))).otherwise(F.concat(F.unhex(F.lit("00")), F.encode(c, "UTF-8")))
+
+
+def _unpacked(c: Column) -> Column:
+    body = F.substring(c, 2, 2**31 - 1)
+    return F.when(F.hex(F.substring(c, 1, 1)) == "01", F.lower(F.hex(body))).otherwise(F.decode(body, "UTF-8"))
+
+
 def versions(records: DataFrame, handled: DataFrame, key: str = "hash", at: str = "indexed_at") -> DataFrame:
-    """(key, digest, at, done, newest): one row per distinct content of a key.
+    """(key, digest, at, done, newest): one row per distinct content of a key; keys are packed.
 
     ``handled``: (key, at) rows that successful runs have processed. ``at`` of the result is
     the latest instant of that content. The digest covers every column but the instant.
     """
-    content = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns if c != at])), 256))
+    content = F.unhex(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns if c != at]))))
     null_at = _oldest()
     rows = (
         records.where(F.col(key).isNotNull())
-        .select(F.col(key).alias("key"), content.alias("digest"), F.coalesce(instant(at), null_at).alias("at"))
+        .select(_packed(F.col(key)).alias("key"), content.alias("digest"), F.coalesce(instant(at), null_at).alias("at"))
         .groupBy("key", "digest", "at")
         .agg(F.lit(1).alias("one"))
         .drop("one")
     )
-    done = handled.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(instant(at), null_at).alias("at")).distinct()
+    done = handled.where(F.col(key).isNotNull()).select(_packed(F.col(key)).alias("key"), F.coalesce(instant(at), null_at).alias("at")).distinct()
     rows = rows.join(done.withColumn("done", F.lit(True)), ["key", "at"], "left")
     items = rows.groupBy("key", "digest").agg(F.max("at").alias("at"), F.coalesce(F.bool_or("done"), F.lit(False)).alias("done"))
     last = items.groupBy("key").agg(F.max("at").alias("last"))
@@ -64,12 +76,13 @@ def sequenced(items: DataFrame, lanes: int = LANES) -> DataFrame:
 
 def pending(records: DataFrame, handled: DataFrame, key: str = "hash", at: str = "indexed_at", lanes: int = LANES) -> DataFrame:
     """(key, digest, at) of the newest versions that no successful run has handled."""
-    items = sequenced(versions(records, handled, key, at), lanes)
+    items = cut(sequenced(versions(records, handled, key, at), lanes))
     # Versions that a newer one replaces need no run; their numbers close with the handled ones.
     closed = intervals.from_points(items.where("done or not newest"))
     available = items.groupBy("lane").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     gaps = intervals.subtract(available, closed)
-    return intervals.inside(items, gaps).select("key", "digest", F.when(F.col("at") != _oldest(), F.col("at")).alias("at"))
+    # What is closed lies in no gap, so only open versions are looked up.
+    return intervals.inside(items.where("newest and not done"), gaps).select(_unpacked(F.col("key")).alias("key"), "digest", F.when(F.col("at") != _oldest(), F.col("at")).alias("at"))
 
 
 class Ledger:
