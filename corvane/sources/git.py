@@ -68,7 +68,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_Pass(k) for k in PASSES] if has_commits(self.options["path"]) else []
 
-    def read(self, partition: _Pass) -> Iterator[tuple]:
+    def read(self, partition: _Pass | None) -> Iterator[tuple]:
+        if partition is None:  # how Spark reads a source without partitions
+            return
         out = git(self.options["path"], "-c", "core.quotepath=off", *log_args(self.options), HEADER, *PASSES[partition.kind])
         for seq, record in enumerate(r for r in out.split(RECORD) if r.strip()):
             yield partition.kind, seq, record
