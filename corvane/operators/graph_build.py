@@ -6,6 +6,10 @@ distinct commits; removed and renamed files count as modified.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +64,55 @@ def ownership(changes: DataFrame) -> DataFrame:
     )
 
 
+#: Modules of one commit that a task pairs at once; a commit of more is cut, and its slices meet pairwise in spread tasks.
+WIDE = 256
+
+
+def _paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums over (module_a, module_b) of each batch of (lm, ll, rm, rl); without a right side the pairs are those of the left."""
+    for batch in batches:
+        names, codes, lines = pd.Index(sorted({m for side in ("lm", "rm") for x in batch[side] if x is not None for m in x})), [], []
+        groups: dict[tuple[int, int], list] = {}
+        for lm, ll, rm, rl in zip(batch["lm"], batch["ll"], batch["rm"], batch["rl"]):
+            groups.setdefault((len(lm), -1 if rm is None else len(rm)), []).append((lm, ll, rm, rl))
+        for (n, k), rows in groups.items():
+            step = max(1, 1_000_000 // max(1, n * (n if k < 0 else k)))
+            for i in range(0, len(rows), step):
+                part = rows[i : i + step]
+                left, wl = names.get_indexer(np.concatenate([r[0] for r in part])).reshape(-1, n), np.stack([r[1] for r in part])
+                right, wr = (left, wl) if k < 0 else (names.get_indexer(np.concatenate([r[2] for r in part])).reshape(-1, k), np.stack([r[3] for r in part]))
+                a, b = np.broadcast_arrays(left[:, :, None], right[:, None, :])
+                keep = (a < b) if k < 0 else np.ones(a.shape, bool)
+                code = np.minimum(a, b).astype(np.int64) * len(names) + np.maximum(a, b)
+                u, inv = np.unique(code[keep], return_inverse=True)
+                codes.append(u)
+                lines.append((np.bincount(inv, np.minimum(wl[:, :, None], wr[:, None, :])[keep], len(u)), np.bincount(inv, minlength=len(u))))
+        if codes:
+            u, inv = np.unique(np.concatenate(codes), return_inverse=True)
+            weight, n = (np.bincount(inv, np.concatenate([x[j] for x in lines]), len(u)).astype(np.int64) for j in (0, 1))
+            yield pd.DataFrame({"module_a": names[u // len(names)], "module_b": names[u % len(names)], "weight": weight, "commits": n})
+
+
 def co_changes(changes: DataFrame) -> DataFrame:
     """(module_a, module_b, weight, commits): the smaller number of changed lines of each commit, summed up.
 
-    Lines are summed per commit and module before the pairing, which joins the modules of a commit on its hash.
+    Lines are summed per commit and module first. A task then pairs the modules of many commits in
+    arrays and emits one sum per pair it has seen, never the pairs of a commit as rows.
     """
     per = changes.groupBy("hash", "module").agg(F.sum("lines").alias("lines"))
-    a, b = per.select("hash", F.col("module").alias("module_a"), F.col("lines").alias("la")), per.select("hash", F.col("module").alias("module_b"), F.col("lines").alias("lb"))
-    return a.join(b, "hash").where("module_a < module_b").groupBy("module_a", "module_b").agg(F.sum(F.least("la", "lb")).alias("weight"), F.count(F.lit(1)).alias("commits"))
+    # Slices by hash of the module bound every list; a commit of few modules is one slice.
+    size = per.groupBy("hash").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("slices"))
+    sliced = per.join(size, "hash").groupBy("hash", "slices", F.pmod(F.xxhash64("module"), F.col("slices")).alias("slice"))
+    lists = sliced.agg(F.sort_array(F.collect_list(F.struct("module", "lines"))).alias("m")).select("hash", "slices", "slice", F.col("m.module").alias("lm"), F.col("m.lines").alias("ll"))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    inner = lists.select("lm", "ll", none("rm", "array<string>"), none("rl", "array<bigint>"))
+    wide = lists.where("slices > 1")
+    other = wide.select("hash", F.col("slice").alias("slice2"), F.col("lm").alias("rm"), F.col("ll").alias("rl"))
+    cross = wide.join(other, "hash").where("slice < slice2").select("lm", "ll", "rm", "rl")
+    cross = cross.repartition(changes.sparkSession.sparkContext.defaultParallelism * 2, F.xxhash64("lm", "rm"))
+    schema = "module_a string, module_b string, weight long, commits long"
+    sums = inner.where(F.size("lm") > 1).mapInPandas(_paired, schema).unionByName(cross.mapInPandas(_paired, schema))
+    return sums.groupBy("module_a", "module_b").agg(F.sum("weight").alias("weight"), F.sum("commits").alias("commits"))
 
 
 def ownership_relations(edges: DataFrame) -> DataFrame:

@@ -133,12 +133,13 @@ def recency(as_of: str, c: Column) -> Column:
 def scored(rows: DataFrame, as_of: str, hybrid: bool) -> DataFrame:
     """Adds ``score`` to (id, fts, last_seen, degree, semantic): text, recency, degree and meaning, weighed."""
     w = HYBRID if hybrid else TEXT_ONLY
-    top = Window.partitionBy(F.lit(1))
-    fts = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fts") / F.greatest(F.max(F.abs("fts")).over(top), F.lit(1.0))))
-    most = F.greatest(F.max("degree").over(top), F.lit(1))
-    degree = F.when(most > 1, F.ln(F.col("degree") + 1) / F.ln(most + 1)).otherwise((F.col("degree") > 0).cast("double"))
+    # The two largest values travel as one row, so the rows themselves stay where they are.
+    most = rows.agg(F.greatest(F.max(F.abs("fts")), F.lit(1.0)).alias("_fts"), F.greatest(F.max("degree"), F.lit(1)).alias("_degree"))
+    fts = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fts") / F.col("_fts")))
+    degree = F.when(F.col("_degree") > 1, F.ln(F.col("degree") + 1) / F.ln(F.col("_degree") + 1)).otherwise((F.col("degree") > 0).cast("double"))
     score = fts * w["fts"] + recency(as_of, F.col("last_seen")) * w["recency"] + degree * w["degree"]
-    return rows.withColumn("score", score + F.coalesce(F.greatest("semantic", F.lit(0.0)) * SEMANTIC, F.lit(0.0)))
+    score = score + F.coalesce(F.greatest("semantic", F.lit(0.0)) * SEMANTIC, F.lit(0.0))
+    return rows.join(F.broadcast(most), F.lit(True)).withColumn("score", score).drop("_fts", "_degree")
 
 
 def _heaviest(relations: DataFrame, ids: list[str], least: float, each: int) -> dict[str, list]:

@@ -40,7 +40,7 @@ def document_postings(s, d):
 def vector_neighbours(s, d):
     """The three nearest rows of every row whose id is divisible by 20."""
     e = table(s, d, "embeddings")
-    return S.nearest(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 3).select("query_id", "id", F.round("similarity", 5).alias("similarity"), "place")
+    return S.nearest(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 3).select("query_id", "id", "similarity", "place")
 
 
 def entity_similarity(s, d):
@@ -124,7 +124,7 @@ ORACLE = {
     "search_communities": W + _bm25_sql("cm", {"title": 1.0, "summary": 1.0}, ",") + " select id, round(score, 6) score from q",
     "document_postings": "with w as (select id, unnest(" + _LIST.format("title") + " || " + _LIST.format("summary") + ") token from communities), p as (select token, id, count(*)::double f from w group by all) select token, count(*) documents, sum(f) occurrences from p group by 1",
     "vector_neighbours": """with p as (select q.vec_id query_id, r.vec_id id, round(list_cosine_similarity(q.embedding::double[], r.embedding::double[]), 6) + 0.0 s from embeddings q join embeddings r on q.vec_id % 20 = 0 and q.vec_id <> r.vec_id),
- k as (select *, row_number() over (partition by query_id order by s desc, id) place from p) select query_id, id, round(s, 5) similarity, place from k where place <= 3""",
+ k as (select *, row_number() over (partition by query_id order by s desc, id) place from p) select query_id, id, s similarity, place from k where place <= 3""",
     "entity_similarity": W + "select id, round(case when len(embedding) = 8 then coalesce(list_cosine_similarity(embedding::double[], [1.0, 0.5, -0.5, 0.25, -1.0, 0.75, 0.1, -0.2]::double[]), 0) else 0 end, 6) similarity from e where embedding is not null",
     "entity_scores": _ENT + f""", g as (select x id, count(*) degree from (select source_id x from r union all select target_id from r) group by 1),
  z as (select q.id, q.score fts, e.last_seen, coalesce(g.degree, 0) degree from q join e on e.id = q.id left join g on g.id = q.id),

@@ -46,6 +46,28 @@ def test_co_change_and_ownership(spark):
     assert {(r.author_email, r.name, r.frequency) for r in G.people(clean).collect()} == {("ann@x", "Ann L", 2), ("bob@x", "Bobby", 1)}
 
 
+@pytest.mark.parametrize("wide", [G.WIDE, 4])
+def test_co_changes_of_wide_commits_equal_brute_force(spark, monkeypatch, wide):
+    import itertools
+    import random
+    from collections import defaultdict
+
+    monkeypatch.setattr(G, "WIDE", wide)
+    rng = random.Random(4)
+    rows = [(f"h{k % 12}", f"m{rng.randrange(30)}", rng.randrange(9)) for k in range(200)]
+    df = spark.createDataFrame(rows, "hash string, module string, lines long")
+    lines, want = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: [0, 0])
+    for h, m, n in rows:
+        lines[h][m] += n
+    for x in lines.values():
+        for a, b in itertools.combinations(sorted(x), 2):
+            want[a, b][0] += min(x[a], x[b])
+            want[a, b][1] += 1
+    got = [tuple(r) for r in G.co_changes(df).collect()]
+    assert sorted(got) == sorted((a, b, w, n) for (a, b), (w, n) in want.items())
+    assert G.co_changes(df.limit(0)).count() == 0
+
+
 def test_density(spark):
     e, r = spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("r",)], "id string")
     assert G.edge_density(e, r).head()["density"] == 0.5
