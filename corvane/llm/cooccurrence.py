@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import norm_path
 from ..session import cut
 
 #: Items per item block; bounds the sparse row of a basket that one group gathers.
@@ -145,12 +146,6 @@ def pair_counts(pairs: DataFrame, min_together: int = 1) -> DataFrame:
     )
 
 
-def norm_path(c) -> F.Column:
-    """``\\`` as ``/``, without leading ``./``; blank paths become null."""
-    path = F.regexp_replace(F.regexp_replace(c, r"\\", "/"), r"^(\./)+", "")
-    return F.when(F.trim(path) != "", path)
-
-
 def commit_baskets(commits: DataFrame) -> tuple[DataFrame, int]:
     """((basket, item) of the files of each commit, number of commits). Hashes with more than one parent don't count."""
     merge = F.coalesce(F.size("parent_hashes") > 1, F.lit(False))
