@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import query_text
-from ..functions.text import instant
 from ..operators import search as S
 from ..session import table
-from .questions import AS_OF, DAYS, W, communities, entities, relations
-from .build import clean_commits
+from .build import CLEAN, clean_commits
+from .questions import AS_OF, DAYS, GRAPH, W, communities, entities, relations
 
 QUESTION = "who maintains the decoder tooling and the cached snapshots of the platform"
 
@@ -134,12 +133,9 @@ ORACLE = {
     "question_kind": "select doc_id, case " + " ".join(f"when {_rx(p)} then '{k}'" for k, ps in (("local", query_text.LOCAL_PATTERNS), ("global", query_text.GLOBAL_PATTERNS)) for p in ps) + " else 'local' end kind from documents",
     "label_matches": W + "select type, count(*) n, arg_max(name, lpad(frequency::varchar, 20, '0') || id) largest from e where contains(lower(name), 'ar') group by 1",
 }
-from .build import CLEAN as _CLEAN  # noqa: E402
-from .questions import GRAPH as _GRAPH  # noqa: E402
-
 ORACLE["author_entities"] = (
-    _CLEAN
+    CLEAN
     + ","
-    + _GRAPH
+    + GRAPH
     + ", a as (select distinct author_name q from c where author_name is not null), h as (select q, 0 p, e.id from a join e on e.id = q union all select q, 1, e.id from a join e on lower(e.name) = lower(q)) select q query, arg_min(id, p || id) entity_id from h group by 1"
 )
