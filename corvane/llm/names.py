@@ -12,9 +12,10 @@ Method
        initials, short forms and single typos count and a token without any partner rejects.
     4. Star clustering: full spellings with most links become centres, others join their best centre.
 
-Tokens that more than ``HOT`` entities share (given names, or a surname of a third of all rows) tell
-nothing on their own; a view without another token is sketched as a whole, so no group larger than
-``HOT`` is ever compared pairwise and none is left out.
+Views of a token that more than ``HOT`` entities share (given names, or a surname of a third of all rows)
+are compared as distinct bags of tokens, and only where a further token of both can match by its
+``match_keys``, which leave out no match; matches are links to one entity of a bag, so a name that many
+share costs one link a row for each spelling of it.
 
 Defined results
     null or blank names: no views; such an entity is alone. Repeated rows of an id: all their names
@@ -313,19 +314,109 @@ def _compare_views(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([(*k, s) for k, s in best.items()], columns=["x", "y", "score"])
 
 
+def _letters(t: str) -> list[str]:
+    """Keys that two tokens of three letters or more share where one is the beginning or end of the other, or within one edit of it."""
+    out = [f"^{t[:3]}", f"${t[-3:]}"]
+    # An edit among the first three letters leaves the last three alone only in tokens of seven.
+    return out + [f"-{t[:k]}{t[k + 1 :]}" for k in range(len(t))] + [f"-{t}"] if len(t) <= 7 else out
+
+
+def match_keys(t: str) -> list[tuple[str, bool]]:
+    """(key, short): tokens with a positive ``token_similarity`` share a key; keys that begin with a digit compare only with short tokens (two letters or fewer)."""
+    roots = _ROOTS.get(t, ())
+    if len(t) <= 2:
+        out = {(f"{len(t)}{t}", True), (f"1{t[0]}", True)}
+    else:
+        out = {(f"1{t[0]}", False), (f"2{t[:2]}", False)} | {(k, False) for k in _letters(t)}
+    out |= {(f"1{r[0]}", len(t) <= 2) for r in roots} | {(f"={r}", False) for r in roots}
+    # A short form with a typo meets the forms of this token's roots.
+    out |= {(k, False) for r in roots for f in SHORT_FORMS[r].split() if len(f) >= 4 for k in _letters(f)}
+    return sorted(out)
+
+
+def _common_links(keyed: DataFrame, counts: DataFrame, similar: DataFrame) -> DataFrame:
+    """(x, y, score) of views with a token, equal or within one edit, that more than ``HOT`` entities share."""
+    hot = counts.where(F.col("n") > HOT).select("token")
+    # Tokens within one edit of a common one are compared under it; of two common ones, under the smaller.
+    pairs = similar.unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = pairs.join(hot.select(F.col("token").alias("a")), "a").join(hot.select(F.col("token").alias("b"), F.lit(True).alias("also")), "b", "left")
+    pairs = pairs.where(F.col("also").isNull() | (F.col("a") < F.col("b"))).select(F.col("b").alias("token"), F.col("a").alias("anchor"), F.lit(1).alias("side"))
+    anchors = cut(pairs.unionByName(hot.select("token", F.col("token").alias("anchor"), F.lit(0).alias("side"))))
+    if anchors.isEmpty():
+        return keyed.select(F.col("id").alias("x"), F.col("id").alias("y"), F.lit(0.0).alias("score")).limit(0)
+    fused = (F.col("kind") == 3).alias("fused")
+    rows = keyed.select("id", "kind", F.array_sort("tokens").alias("tokens"), fused).withColumn("bag", F.xxhash64("tokens", "fused"))
+    bags = rows.groupBy("bag", "tokens", "fused").agg(F.min(F.struct("kind", "id")).alias("first"))
+    placed = bags.select("bag", "tokens", "fused", F.posexplode("tokens").alias("at", "token")).join(anchors, "token").select("bag", "tokens", "fused", "at", "anchor", "side")
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for bag, tokens, fused, at, anchor, side in b.itertuples(index=False):
+                best = {}
+                for k, t in enumerate(tokens):
+                    if k != at:
+                        for key, short in match_keys(t):
+                            best[key] = best.get(key, False) or short
+                out += [(xxhash.xxh64_intdigest(f"{anchor} {key}") - (1 << 63), key[0] in "12", short, bag, " ".join(tokens), bool(fused), at, side) for key, short in best.items()]
+            yield pd.DataFrame(out, columns=["key", "asks", "short", "bag", "tokens", "fused", "at", "side"])
+
+    found = placed.repartition(keyed.sparkSession.sparkContext.defaultParallelism * 2, "bag").mapInPandas(keys, "key long, asks boolean, short boolean, bag long, tokens string, fused boolean, at int, side int")
+    # A key matters where two bags have it that are to be compared under it.
+    told = cut(found)
+    sizes = told.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") == 0).alias("own"), F.count_if("short").alias("shorts"), F.first("asks").alias("asks"))
+    sizes = sizes.where("n > 1 and own > 0 and (shorts > 0 or not asks)").select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
+    item = F.struct("bag", "tokens", "fused", "at", "side", "short")
+    parts = told.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("bag"), F.col("parts")).cast("int")).groupBy("key", "asks", "parts", "part").agg(F.collect_list(item).alias("l"))
+    inner = parts.select("asks", "l", F.lit(None).cast(parts.schema["l"].dataType).alias("r"))
+    big = parts.where("parts > 1")
+    cross = big.alias("x").join(big.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part"))).select("x.asks", F.col("x.l").alias("l"), F.col("y.l").alias("r"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[tuple[int, int], float] = {}
+        seen: set[tuple] = set()
+        for batch in batches:
+            for asks, left, right in zip(batch["asks"], batch["l"], batch["r"]):
+                left = [(u["bag"], u["tokens"].split(" "), u["fused"], u["at"], u["side"], u["short"]) for u in left]
+                right = None if right is None else [(u["bag"], u["tokens"].split(" "), u["fused"], u["at"], u["side"], u["short"]) for u in right]
+                for i, (a, x, xf, xi, xs, xshort) in enumerate(left):
+                    for b, y, yf, yi, ys, yshort in left[i + 1 :] if right is None else right:
+                        if a == b or (xs and ys) or (xf and yf) or (asks and not (xshort or yshort)) or (a, xi, b, yi) in seen:
+                            continue
+                        seen.add((a, xi, b, yi))
+                        score = monge_elkan(x, y, xi, yi) - 0.05 * (xf or yf)
+                        if score > 0:
+                            key = (a, b) if a < b else (b, a)
+                            best[key] = max(best.get(key, 0.0), score)
+            if best:
+                yield pd.DataFrame([(*k, v) for k, v in best.items()], columns=["a", "b", "score"])
+                best = {}
+            if len(seen) > 500_000:
+                seen = set()
+
+    near = cut(inner.unionByName(cross).mapInPandas(compare, "a long, b long, score double").groupBy("a", "b").agg(F.max("score").alias("score")))
+    equal = placed.where("side = 0 and not fused").select(F.col("bag").alias("a"), F.col("bag").alias("b"), F.when(F.size("tokens") == 1, 0.9).otherwise(1.0).alias("score")).distinct()
+    met = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(equal)
+    met = met.join(bags.select(F.col("bag").alias("b"), F.col("first.id").alias("other")), "b")
+    ids = rows.select(F.col("bag").alias("a"), "id").distinct()
+    return _ordered(met.join(ids, "a").where("id <> other").select("id", "other", "score"))
+
+
 def links(seen: DataFrame) -> DataFrame:
     """(x, y, score), x < y: ids with views that name the same person or team."""
     tokens = seen.select("id", F.explode("tokens").alias("token")).where(F.length("token") >= TELLING).distinct()
-    telling = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= HOT).select("token")
+    counts = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    telling = counts.where(F.col("n") <= HOT).select("token")
     keyed = seen.withColumn("view", F.xxhash64("id", "tokens", "kind"))
     placed = keyed.select("id", "tokens", "kind", "view", F.posexplode("tokens").alias("at", "token")).join(telling, "token")
     placed = cut(placed.groupBy("token", "id", "tokens", "kind", "at", "view").agg(F.lit(1).alias("one")).drop("one"))
     lists = placed.groupBy("token").agg(F.collect_list(F.struct("id", "tokens", "kind", "at")).alias("v"))
-    similar = similar_tokens(placed.select("token").distinct())
+    every = cut(similar_tokens(counts.select("token")))
+    similar = every.join(telling.select(F.col("token").alias("a")), "a", "left_semi").join(telling.select(F.col("token").alias("b")), "b", "left_semi")
     own = lists.select(F.col("token").alias("a"), F.col("token").alias("b"), F.col("v").alias("l"), F.lit(None).cast(lists.schema["v"].dataType).alias("r"))
     near = similar.join(lists.select(F.col("token").alias("a"), F.col("v").alias("l")), "a").join(lists.select(F.col("token").alias("b"), F.col("v").alias("r")), "b").select("a", "b", "l", "r")
     found = own.where(F.size("l") > 1).unionByName(near).mapInPandas(_compare_views, "x string, y string, score double")
-    return found.unionByName(_whole_links(keyed, placed)).groupBy("x", "y").agg(F.max("score").alias("score"))
+    return found.unionByName(_whole_links(keyed, placed)).unionByName(_common_links(keyed, counts, every)).groupBy("x", "y").agg(F.max("score").alias("score"))
 
 
 def _whole_links(keyed: DataFrame, placed: DataFrame) -> DataFrame:

@@ -107,3 +107,30 @@ def test_star_centres_outrank_their_neighbours(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 0.9), ("c", "d", 1.0)], "x string, y string, score double")
     rank = spark.createDataFrame([("a", 1, 5), ("b", 0, 9), ("c", 0, 1), ("d", 1, 2)], "id string, full int, weight long")
     assert {(r.id, r.centre) for r in N.stars(edges, rank).collect()} == {("a", "a"), ("b", "a"), ("d", "d"), ("c", "d")}
+
+
+def test_match_keys_leave_out_no_match():
+    rng = random.Random(5)
+    words = [*N._ROOTS, *"abcdefghjkr", *("al", "jo", "ro", "li"), *("lexander", "jamin", "smithson", "smith", "benj", "eliza")]
+    typo = lambda w, k: rng.choice([w[:k] + rng.choice("abcxyz") + w[k + 1 :], w[:k] + w[k + 1 :], w[:k] + w[k + 1 : k + 2] + w[k] + w[k + 2 :]])
+    words += [x for w in list(words) for k in range(len(w)) if (x := typo(w, k))]
+    keys = {w: dict(N.match_keys(w)) for w in set(words)}
+    for a in keys:
+        for b in keys:
+            if N.token_similarity(a, b) > 0:
+                assert any(k in keys[b] and (k[0] not in "12" or keys[a][k] or keys[b][k]) for k in keys[a]), (a, b)
+
+
+@pytest.mark.parametrize("bucket", [400, 3])
+def test_views_of_common_tokens_stay_candidates(spark, monkeypatch, bucket):
+    people = [
+        *simple("Robert Smithson", "Bob Smithson", "R. Smithson", "Smithson-Quill Robert", "rsmithson", "Benjamin Smithson", "Ben Smithson", "Robert Smihtson"),
+        ("m0", "Dorothea Smithson", None, None, 5), ("m1", "D Smithson-Vale", None, {"email": "dorothea.smithson@x.example"}, 1),
+        *((f"x{k}", f"{g} Smithson", None, None, 1) for k, g in enumerate(("Yvonne", "Ursula", "Xaver"))),
+    ]
+    want = clusters(spark, people)
+    monkeypatch.setattr(N, "HOT", 3)
+    monkeypatch.setattr(N, "BUCKET", bucket)
+    got = clusters(spark, people)
+    assert groups(got, people) == groups(want, people)
+    assert {("p00", "p01"), ("p00", "p02"), ("p00", "p03"), ("p00", "p04"), ("p00", "p07"), ("p05", "p06"), ("m0", "m1")} <= got
