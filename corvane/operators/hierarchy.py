@@ -81,7 +81,9 @@ def _compress(forest: dict[str, list]) -> None:
             done.add(x)
 
 
-def _compressed(links: DataFrame) -> DataFrame:
+def _compressed(links: DataFrame, limit: int | None = None) -> DataFrame:
+    """The links, compressed in blocks of ``limit``, or each partition as one block."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush(forest: dict[str, list]) -> pd.DataFrame:
             _compress(forest)
@@ -91,7 +93,7 @@ def _compressed(links: DataFrame) -> DataFrame:
         for b in batches:
             for row in b.itertuples(index=False):
                 forest[row.id] = [row.top, row.steps, row.low, row.ring, None if row.above is None else list(row.above)]
-            if len(forest) >= BLOCK_ROWS:
+            if limit is not None and len(forest) >= limit:
                 yield flush(forest)
                 forest = {}
         if forest:
@@ -106,7 +108,7 @@ def roots(links: DataFrame, with_paths: bool = False, block_rows: int = BLOCK_RO
     start = links.select(
         "id", F.col("parent").alias("top"), F.lit(1).cast("long").alias("steps"), F.col("id").alias("low"), F.lit(None).cast("string").alias("ring"), above.alias("above")
     )
-    forest = cut(_compressed(start))
+    forest = cut(_compressed(start, BLOCK_ROWS))
     n = forest.count()
     closed: list[DataFrame] = []
     reach = 1
@@ -154,6 +156,7 @@ def roots(links: DataFrame, with_paths: bool = False, block_rows: int = BLOCK_RO
                 known = known.unionByName(c)
             tops = forest.select(F.col("top").alias("id")).distinct()
             rest = forest.unionByName(known.join(tops, "id", "left_semi"))
+        # One block whatever its size: at most ``block_rows`` open links and a closed one for each of their tops.
         one = _compressed(rest.coalesce(1))
         closed.append(one if not closed else one.join(forest.select("id"), "id", "left_semi"))
     out = closed[0]

@@ -74,3 +74,18 @@ def test_empty_and_hot_parent(spark):
     for block in (H.BLOCK_ROWS, 10):
         got = H.hierarchy(nodes(spark, data), block)
         assert got.where("root_id = 'hub'").count() == 402 and got.where("depth = 2").count() == 1
+
+
+@pytest.mark.parametrize("block", [100, 40])
+def test_the_last_block_is_one_whatever_its_size(spark, monkeypatch, block):
+    monkeypatch.setattr(H, "BLOCK_ROWS", 6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        data = [(f"n{k:02}", f"n{k + 1:02}", None) for k in range(60)] + [("n60", None, None)]
+        data += [(f"r{k}", f"r{(k + 1) % 9}", None) for k in range(9)] + [("u", "r4", None)]
+        random.Random(3).shuffle(data)
+        want, _ = brute(data)
+        got = {r.id: (r.root_id, r.depth, r.path) for r in H.hierarchy(nodes(spark, data).repartition(4), block).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
