@@ -204,8 +204,16 @@ def _bands(tokens: list[str], rows: int, bands: int) -> np.ndarray:
     return out
 
 
-def similar_tokens(tokens: DataFrame, similarity: float = 0.43, recall: float = 0.99, max_bands: int = 160) -> DataFrame:
-    """(a, b), a < b: distinct tokens within one edit that share a band. ``similarity``: Jaccard of a swap in eight letters."""
+def _deletions(t: str) -> list[int]:
+    """Keys of a token and of it without one letter: tokens within one edit share one, a swap included."""
+    return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in {t, *(t[:k] + t[k + 1 :] for k in range(len(t)))}]
+
+
+def similar_tokens(tokens: DataFrame, similarity: float = 0.43, recall: float = 0.99, max_bands: int = 160, exact: int = 8) -> DataFrame:
+    """(a, b), a < b: distinct tokens within one edit that share a band. ``similarity``: Jaccard of a swap in ``exact`` letters.
+
+    A swap in fewer letters has a lower Jaccard, so tokens up to that length meet by their deletions, which miss none.
+    """
     rows, bands = tune(similarity, recall, max_bands)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,8 +221,12 @@ def similar_tokens(tokens: DataFrame, similarity: float = 0.43, recall: float =
             words = batch["token"].tolist()
             for i in range(0, len(words), 2000):
                 part = words[i : i + 2000]
-                keys = _bands(part, rows, bands)
-                yield pd.DataFrame({"key": keys.ravel(), "token": np.repeat(np.array(part, object), bands)})
+                short = [(key, w) for w in part if len(w) <= exact for key in _deletions(w)]
+                if short:
+                    yield pd.DataFrame(short, columns=["key", "token"])
+                if long := [w for w in part if len(w) >= exact]:
+                    keys = _bands(long, rows, bands)
+                    yield pd.DataFrame({"key": keys.ravel(), "token": np.repeat(np.array(long, object), bands)})
 
     # Few bytes become many rows here, so the tokens are spread by number. The band is part of the key.
     spread = tokens.repartition(tokens.sparkSession.sparkContext.defaultParallelism * 2, "token")
@@ -434,7 +446,7 @@ def _whole_links(keyed: DataFrame, placed: DataFrame) -> DataFrame:
     if wanted.isEmpty():
         return _ordered(equal)
     # In short names one letter may be the whole difference.
-    near = similar_tokens(groups.where(F.length("whole") >= 2 * TELLING).select(F.col("whole").alias("token")), WHOLE)
+    near = similar_tokens(groups.where(F.length("whole") >= 2 * TELLING).select(F.col("whole").alias("token")), WHOLE, exact=14)
     near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = lambda s: groups.select(F.col("whole").alias(s), F.col("first").alias(f"{s}_first"), F.col("n").alias(f"{s}_n"))
     kept = near.join(wanted.withColumnRenamed("whole", "a"), "a", "left_semi").unionByName(near.join(wanted.withColumnRenamed("whole", "b"), "b", "left_semi")).distinct()

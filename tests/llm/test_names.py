@@ -134,3 +134,17 @@ def test_views_of_common_tokens_stay_candidates(spark, monkeypatch, bucket):
     got = clusters(spark, people)
     assert groups(got, people) == groups(want, people)
     assert {("p00", "p01"), ("p00", "p02"), ("p00", "p03"), ("p00", "p04"), ("p00", "p07"), ("p05", "p06"), ("m0", "m1")} <= got
+
+
+def test_short_tokens_meet_whatever_the_edit(spark):
+    rng = random.Random(11)
+    letters = "abcdefghijklmnoprstuvwy"
+    pairs = {("smith", "smtih")}
+    for length in (5, 6, 7, 8) * 100:
+        w = "".join(rng.choice(letters) for _ in range(length))
+        k = rng.randrange(length - 1)
+        v = rng.choice([w[:k] + rng.choice(letters) + w[k + 1 :], w[:k] + w[k + 1 :], w[:k] + w[k + 1] + w[k] + w[k + 2 :]])
+        if v != w:
+            pairs.add(tuple(sorted((w, v))))
+    df = spark.createDataFrame([(x,) for x in {x for p in pairs for x in p}], "token string")
+    assert pairs <= {(r.a, r.b) for r in N.similar_tokens(df).collect()}
