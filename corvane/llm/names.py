@@ -40,7 +40,7 @@ from ..session import cut
 HOT = 200
 #: Names of one bucket that a task compares at once; larger buckets are cut and their parts compared crosswise.
 BUCKET = 400
-#: Shortest token that is telling.
+#: Shortest token that is telling. Shorter ones, down to two letters, are compared like common ones.
 TELLING = 5
 #: Jaccard of a swap in a whole name of 14 letters.
 WHOLE = 0.6
@@ -280,15 +280,21 @@ def token_similarity(a: str, b: str) -> float:
     return 0.0
 
 
+def _without_short_typos(a: str, b: str) -> float:
+    """In short tokens one letter may be the whole difference (Wei, Mei), unless it is a further one at an end."""
+    return 0.0 if a != b and max(len(a), len(b)) < TELLING and token_similarity(a, b) == 0.93 and not (len(a) != len(b) and (a.startswith(b) or b.startswith(a))) else token_similarity(a, b)
+
+
 def monge_elkan(x: list[str], y: list[str], xi: int, yi: int) -> float:
     """Mean of the best similarities of the shorter view's tokens, each partner used once; x[xi] and y[yi] are partners already."""
+    similarity = _without_short_typos if len(x[xi]) < TELLING and x[xi] == y[yi] else token_similarity
     if len(x) > len(y):
         x, y, xi, yi = y, x, yi, xi
     total = token_similarity(x[xi], y[yi])
     free = [t for k, t in enumerate(y) if k != yi]
     initial = False
     for t in sorted((t for k, t in enumerate(x) if k != xi), key=len, reverse=True):
-        best, at = max(((token_similarity(t, u), k) for k, u in enumerate(free)), default=(0.0, -1))
+        best, at = max(((similarity(t, u), k) for k, u in enumerate(free)), default=(0.0, -1))
         if best == 0.0:
             return 0.0
         total += best
@@ -347,19 +353,21 @@ def match_keys(t: str) -> list[tuple[str, bool]]:
 
 
 def _common_links(keyed: DataFrame, counts: DataFrame, similar: DataFrame) -> DataFrame:
-    """(x, y, score) of views with a token, equal or within one edit, that more than ``HOT`` entities share."""
+    """(x, y, score) of views with a token, equal or within one edit, that more than ``HOT`` entities share, or an equal short one."""
     hot = counts.where(F.col("n") > HOT).select("token")
+    # A reading of a user name has a telling token that must match as well.
+    short = keyed.where("kind < 3").select("id", F.explode("tokens").alias("token")).where(F.length("token").between(2, TELLING - 1)).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Tokens within one edit of a common one are compared under it; of two common ones, under the smaller.
     pairs = similar.unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = pairs.join(hot.select(F.col("token").alias("a")), "a").join(hot.select(F.col("token").alias("b"), F.lit(True).alias("also")), "b", "left")
     pairs = pairs.where(F.col("also").isNull() | (F.col("a") < F.col("b"))).select(F.col("b").alias("token"), F.col("a").alias("anchor"), F.lit(1).alias("side"))
-    anchors = cut(pairs.unionByName(hot.select("token", F.col("token").alias("anchor"), F.lit(0).alias("side"))))
+    anchors = cut(pairs.unionByName(hot.unionByName(short.select("token")).select("token", F.col("token").alias("anchor"), F.lit(0).alias("side"))))
     if anchors.isEmpty():
         return keyed.select(F.col("id").alias("x"), F.col("id").alias("y"), F.lit(0.0).alias("score")).limit(0)
     fused = (F.col("kind") == 3).alias("fused")
     rows = keyed.select("id", "kind", F.array_sort("tokens").alias("tokens"), fused).withColumn("bag", F.xxhash64("tokens", "fused"))
     bags = rows.groupBy("bag", "tokens", "fused").agg(F.min(F.struct("kind", "id")).alias("first"))
-    placed = bags.select("bag", "tokens", "fused", F.posexplode("tokens").alias("at", "token")).join(anchors, "token").select("bag", "tokens", "fused", "at", "anchor", "side")
+    placed = bags.select("bag", "tokens", "fused", F.posexplode("tokens").alias("at", "token")).where((F.length("token") >= TELLING) | ~F.col("fused")).join(anchors, "token").select("bag", "tokens", "fused", "at", "anchor", "side")
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -407,7 +415,7 @@ def _common_links(keyed: DataFrame, counts: DataFrame, similar: DataFrame) -> Da
                 seen = set()
 
     near = cut(inner.unionByName(cross).mapInPandas(compare, "a long, b long, score double").groupBy("a", "b").agg(F.max("score").alias("score")))
-    equal = placed.where("side = 0 and not fused").select(F.col("bag").alias("a"), F.col("bag").alias("b"), F.when(F.size("tokens") == 1, 0.9).otherwise(1.0).alias("score")).distinct()
+    equal = placed.where((F.col("side") == 0) & ~F.col("fused") & ((F.size("tokens") > 1) | (F.length("anchor") >= TELLING))).select(F.col("bag").alias("a"), F.col("bag").alias("b"), F.when(F.size("tokens") == 1, 0.9).otherwise(1.0).alias("score")).distinct()
     met = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(equal)
     met = met.join(bags.select(F.col("bag").alias("b"), F.col("first.id").alias("other")), "b")
     ids = rows.select(F.col("bag").alias("a"), "id").distinct()

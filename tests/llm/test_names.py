@@ -148,3 +148,9 @@ def test_short_tokens_meet_whatever_the_edit(spark):
             pairs.add(tuple(sorted((w, v))))
     df = spark.createDataFrame([(x,) for x in {x for p in pairs for x in p}], "token string")
     assert pairs <= {(r.a, r.b) for r in N.similar_tokens(df).collect()}
+
+
+def test_names_of_short_tokens_only(spark):
+    one, two, three, four = ["Wei Chen", "W. Chen", "Chen, Wei"], ["Jon Khan", "J. Khan"], ["Robert Hunt", "Bob Hunt"], ["Li Xu", "L. Xu"]
+    people = simple(*one, *two, *three, *four, "Mei Chen", "Dan Chen", "Jon Park", "Ann Hunt")
+    assert groups(clusters(spark, people), people) == {frozenset(one), frozenset(two), frozenset(three), frozenset(four)}
