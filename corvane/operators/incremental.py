@@ -1,9 +1,14 @@
 """Processing only new or changed records.
 
-Every distinct version of a record has a place in one of ``lanes`` independent sequences.
-What is done is a set of disjoint intervals of sequence numbers; the next run takes the
-available ranges minus those intervals, so late records fall into gaps instead of behind a
-high-water mark, and a run that failed leaves its numbers open.
+Every distinct version of a record has a number in one of ``lanes`` independent sequences. Numbers are
+given once: a version that comes later, however old its date, follows the last number of its lane. What
+is done is a set of disjoint intervals of numbers; a run takes the available ranges minus those
+intervals, so late records fall into gaps instead of behind a high-water mark, and a run that failed
+leaves its numbers open. Versions that a newer one of their key replaces are closed as long as it does.
+
+``Ledger`` keeps numbers and intervals between runs. ``pending`` has no store: it replays the order in
+which runs took the versions, those that none has taken come last, so what is late moves no number of
+a version that was taken.
 
 Defined results
     rows without a key: not records, never pending. Null, blank or unreadable instants: the oldest.
@@ -14,15 +19,16 @@ Defined results
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import instant
 from ..session import cut
+from ..sources.manifests import Manifests
 from . import intervals
 
 #: Lanes of the sequence. Each is sorted by one task; more lanes than tasks cost nothing.
@@ -45,108 +51,171 @@ def _unpacked(c: Column) -> Column:
     return F.when(F.hex(F.substring(c, 1, 1)) == "01", F.lower(F.hex(body))).otherwise(F.decode(body, "UTF-8"))
 
 
-def versions(records: DataFrame, handled: DataFrame, key: str = "hash", at: str = "indexed_at") -> DataFrame:
-    """(key, digest, at, done, newest): one row per distinct content of a key; keys are packed.
+def versions(records: DataFrame, key: str = "hash", at: str = "indexed_at") -> DataFrame:
+    """(key, digest, at) of each row, repeats left out; keys are packed. The digest covers every column but the instant."""
+    content = F.unhex(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns if c != at]))))
+    rows = records.where(F.col(key).isNotNull()).select(_packed(F.col(key)).alias("key"), content.alias("digest"), F.coalesce(instant(at), _oldest()).alias("at"))
+    return rows.groupBy("key", "digest", "at").agg(F.lit(1).alias("one")).drop("one")
+
+
+def _with_newest(items: DataFrame) -> DataFrame:
+    last = items.groupBy("key").agg(F.max("at").alias("last"))
+    return items.join(last, "key").withColumn("newest", F.col("at") == F.col("last")).drop("last")
+
 
-    ``handled``: (key, at) rows that successful runs have processed. ``at`` of the result is
-    the latest instant of that content. The digest covers every column but the instant.
+def taken_versions(records: DataFrame, handled: DataFrame, key: str = "hash", at: str = "indexed_at", run: str | None = None, ok: str | None = None) -> DataFrame:
+    """(key, digest, at, run, done, newest): one row per distinct content of a key, ``at`` its latest instant.
+
+    ``handled``: (key, at) rows that runs have taken, in the order of ``run``; those of a run that did not
+    succeed have a false ``ok``.
     """
-    content = F.unhex(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns if c != at]))))
-    null_at = _oldest()
-    rows = (
-        records.where(F.col(key).isNotNull())
-        .select(_packed(F.col(key)).alias("key"), content.alias("digest"), F.coalesce(instant(at), null_at).alias("at"))
-        .groupBy("key", "digest", "at")
-        .agg(F.lit(1).alias("one"))
-        .drop("one")
+    took = handled.where(F.col(key).isNotNull()).select(
+        _packed(F.col(key)).alias("key"),
+        F.coalesce(instant(at), _oldest()).alias("at"),
+        (F.lit(0) if run is None else F.col(run)).cast("long").alias("run"),
+        (F.lit(True) if ok is None else F.coalesce(F.col(ok), F.lit(False))).alias("done"),
     )
-    done = handled.where(F.col(key).isNotNull()).select(_packed(F.col(key)).alias("key"), F.coalesce(instant(at), null_at).alias("at")).distinct()
-    rows = rows.join(done.withColumn("done", F.lit(True)), ["key", "at"], "left")
-    items = rows.groupBy("key", "digest").agg(F.max("at").alias("at"), F.coalesce(F.bool_or("done"), F.lit(False)).alias("done"))
-    last = items.groupBy("key").agg(F.max("at").alias("last"))
-    return items.join(last, "key").select("key", "digest", "at", "done", (F.col("at") == F.col("last")).alias("newest"))
+    took = took.groupBy("key", "at").agg(F.min("run").alias("run"), F.bool_or("done").alias("done"))
+    rows = versions(records, key, at).join(took, ["key", "at"], "left")
+    items = rows.groupBy("key", "digest").agg(F.max("at").alias("at"), F.min("run").alias("run"), F.coalesce(F.bool_or("done"), F.lit(False)).alias("done"))
+    return _with_newest(items)
 
 
-def sequenced(items: DataFrame, lanes: int = LANES) -> DataFrame:
-    """Adds (lane, seq): a lane by hash of the version, so that a key with many versions spreads, and a dense number by instant."""
-    lane = F.pmod(F.xxhash64("key", "digest"), F.lit(lanes)).cast("int")
-    w = Window.partitionBy("lane").orderBy("at", "key", "digest")
-    return items.withColumn("lane", lane).withColumn("seq", F.row_number().over(w).cast("long"))
+def lane(lanes: int) -> Column:
+    """By hash of the version, so that a key with many versions spreads."""
+    return F.pmod(F.xxhash64("key", "digest"), F.lit(lanes)).cast("int")
 
 
-def pending(records: DataFrame, handled: DataFrame, key: str = "hash", at: str = "indexed_at", lanes: int = LANES) -> DataFrame:
-    """(key, digest, at) of the newest versions that no successful run has handled."""
-    items = cut(sequenced(versions(records, handled, key, at), lanes))
-    # Versions that a newer one replaces need no run; their numbers close with the handled ones.
-    closed = intervals.from_points(items.where("done or not newest"))
+def numbered(items: DataFrame, order: list[Column], lanes: int = LANES, journal: DataFrame | None = None) -> DataFrame:
+    """Adds (lane, seq). Versions of ``journal`` (key, digest, lane, seq) keep their numbers, others follow the last of their lane."""
+    placed = items.withColumn("lane", lane(lanes))
+    place = F.row_number().over(Window.partitionBy("lane").orderBy(*order)).cast("long")
+    if journal is None:
+        return placed.withColumn("seq", place)
+    known = journal.select("key", "digest", "seq")
+    last = journal.groupBy("lane").agg(F.max("seq").alias("last"))
+    new = placed.join(known, ["key", "digest"], "left_anti").join(last, "lane", "left")
+    new = new.withColumn("seq", place + F.coalesce("last", F.lit(0))).drop("last")
+    return placed.join(known, ["key", "digest"]).unionByName(new)
+
+
+def _gaps(items: DataFrame, closed: DataFrame) -> DataFrame:
     available = items.groupBy("lane").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    gaps = intervals.subtract(available, closed)
-    # What is closed lies in no gap, so only open versions are looked up.
-    return intervals.inside(items.where("newest and not done"), gaps).select(_unpacked(F.col("key")).alias("key"), "digest", F.when(F.col("at") != _oldest(), F.col("at")).alias("at"))
+    return intervals.subtract(available, closed)
+
+
+def _said(found: DataFrame) -> DataFrame:
+    """Keys as they came, and null for a missing instant."""
+    return found.withColumns({"key": _unpacked(F.col("key")), "at": F.when(F.col("at") != _oldest(), F.col("at"))})
+
+
+def pending(
+    records: DataFrame, handled: DataFrame, key: str = "hash", at: str = "indexed_at", lanes: int = LANES, run: str | None = None, ok: str | None = None
+) -> DataFrame:
+    """(key, digest, at) of the versions whose numbers the processed intervals leave open."""
+    order = [F.col("run").asc_nulls_last(), F.col("at"), F.col("key"), F.col("digest")]
+    items = cut(numbered(taken_versions(records, handled, key, at, run, ok), order, lanes))
+    closed = intervals.from_points(items.where("done or not newest"))
+    return _said(intervals.inside(items, _gaps(items, closed))).select("key", "digest", "at")
+
+
+@dataclass(frozen=True)
+class Taken:
+    """What a run has to do: ``rows`` (key, digest, at, lane, seq) in the gaps, and the version of the ledger that left them open."""
+
+    rows: DataFrame
+    gaps: DataFrame
+    version: int
 
 
 class Ledger:
-    """Processed intervals, committed together with the output of the run.
+    """Numbers of versions and processed intervals, kept between runs and committed with the output.
 
-    A run writes its output and the merged intervals under a fresh folder and then publishes one
-    small manifest by an atomic rename. Readers follow the last manifest, so a run that dies before
-    the rename leaves neither output nor progress, and a run that is repeated takes the same gaps.
-    ``folder`` must be on storage that all executors share.
+    Every change writes new files and then publishes one small manifest under the next number, which only
+    one writer can take. A run that dies before that leaves neither output nor progress; a run whose gaps
+    come from an older version of the ledger is refused. ``folder`` must be on storage that all
+    executors share.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, lanes: int = LANES):
+        self.spark, self.folder, self.lanes = spark, folder, lanes
+        self._manifests = Manifests(spark, folder)
+        self._seen: int | None = None
 
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    def state(self) -> dict | None:
+        return self._manifests.last()
 
-    def _manifests(self) -> list[str]:
-        fs, p = self._fs(os.path.join(self.folder, "manifests"))
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(n for n in names if n.endswith(".json") and not n.startswith("_"))
+    def _now(self) -> dict:
+        return self.state() or {"version": 0, "outputs": [], "intervals": None, "journal": [], "lanes": self.lanes}
 
-    def state(self) -> dict | None:
-        names = self._manifests()
-        if not names:
-            return None
-        text = self.spark.read.text(os.path.join(self.folder, "manifests", names[-1]), wholetext=True).first()[0]
-        return json.loads(text)
+    def _run(self) -> str:
+        return os.path.join(self.folder, "runs", uuid.uuid4().hex)
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _processed(self, state: dict) -> DataFrame:
+        return self._read([state["intervals"]] if state["intervals"] else [], "lane int, lo long, hi long")
 
     def processed(self) -> DataFrame:
-        state = self.state()
-        if state is None:
-            return self.spark.createDataFrame([], "lane int, lo long, hi long")
-        return self.spark.read.parquet(state["intervals"])
+        return self._processed(self._now())
+
+    def journal(self) -> DataFrame:
+        """(key, digest, lane, seq) of all versions that have a number."""
+        return self._read(self._now()["journal"], "key binary, digest binary, lane int, seq long")
 
     def output(self) -> DataFrame | None:
         state = self.state()
         return self.spark.read.parquet(*state["outputs"]) if state and state["outputs"] else None
 
     def gaps(self, available: DataFrame) -> DataFrame:
-        return intervals.subtract(available, self.processed())
-
-    def commit(self, output: DataFrame, taken: DataFrame) -> bool:
-        """Publish ``output`` and mark the intervals ``taken`` as processed. False if another run published first."""
-        state = self.state() or {"version": 0, "outputs": [], "intervals": None}
-        run = os.path.join(self.folder, "runs", uuid.uuid4().hex)
-        output.write.parquet(os.path.join(run, "output"))
-        intervals.merge(self.processed().unionByName(taken.select("lane", "lo", "hi"))).write.parquet(os.path.join(run, "intervals"))
-        new = {
-            "version": state["version"] + 1,
-            "outputs": [*state["outputs"], os.path.join(run, "output")],
-            "intervals": os.path.join(run, "intervals"),
-        }
-        fs, target = self._fs(os.path.join(self.folder, "manifests", f"{new['version']:012d}.json"))
-        _, draft = self._fs(os.path.join(self.folder, "manifests", f"_{uuid.uuid4().hex}.tmp"))
-        fs.mkdirs(target.getParent())
-        stream = fs.create(draft)
-        stream.write(json.dumps(new).encode())
-        stream.close()
-        if fs.exists(target):
-            fs.delete(draft, False)
+        """What is open of ``available``; a commit without a version of its own is bound to this moment."""
+        state = self._now()
+        self._seen = state["version"]
+        return intervals.subtract(available, self._processed(state))
+
+    def _publish(self, state: dict, changes: dict) -> bool:
+        new = state | changes | {"version": state["version"] + 1}
+        return self._manifests.publish(new["version"], new)
+
+    def register(self, records: DataFrame, key: str = "hash", at: str = "indexed_at") -> int:
+        """Give a number to each version that has none. Returns the ledger's version."""
+        while True:
+            state = self._now()
+            items = versions(records, key, at).groupBy("key", "digest").agg(F.max("at").alias("at"))
+            journal = self._read(state["journal"], "key binary, digest binary, lane int, seq long")
+            new = items.join(journal.select("key", "digest"), ["key", "digest"], "left_anti")
+            path = os.path.join(self._run(), "journal")
+            numbered(new, [F.col("at"), F.col("key"), F.col("digest")], state["lanes"], journal).select("key", "digest", "lane", "seq").write.parquet(path)
+            if self.spark.read.parquet(path).isEmpty():
+                return state["version"]
+            # Another writer may have numbered the same versions: then the numbers are given anew.
+            if self._publish(state, {"journal": [*state["journal"], path]}):
+                return state["version"] + 1
+
+    def take(self, records: DataFrame, key: str = "hash", at: str = "indexed_at") -> Taken:
+        """The versions that no committed run has processed and that no newer one of their key replaces."""
+        self.register(records, key, at)
+        state = self._now()
+        journal = self._read(state["journal"], "key binary, digest binary, lane int, seq long")
+        items = _with_newest(versions(records, key, at).groupBy("key", "digest").agg(F.max("at").alias("at")))
+        items = cut(items.join(journal, ["key", "digest"]))
+        # Replaced versions aren't stored as processed: a record may go back to one of them.
+        replaced = intervals.from_points(items.where("not newest"))
+        gaps = cut(_gaps(items, self._processed(state).unionByName(replaced)))
+        self._seen = state["version"]
+        return Taken(_said(intervals.inside(items.drop("newest"), gaps)), gaps, state["version"])
+
+    def commit(self, output: DataFrame, taken: DataFrame | Taken, base_version: int | None = None) -> bool:
+        """Publish ``output`` and mark the intervals ``taken`` as processed. False if the ledger has moved on since the gaps were taken."""
+        base = taken.version if isinstance(taken, Taken) else self._seen if base_version is None else base_version
+        if base is None:
+            raise ValueError("take the gaps first, or name the version that they are of")
+        state = self._now()
+        if state["version"] != base:
             return False
-        return bool(fs.rename(draft, target))
+        run = self._run()
+        output.write.parquet(os.path.join(run, "output"))
+        gaps = taken.gaps if isinstance(taken, Taken) else taken
+        intervals.merge(self._processed(state).unionByName(gaps.select("lane", "lo", "hi"))).write.parquet(os.path.join(run, "intervals"))
+        return self._publish(state, {"outputs": [*state["outputs"], os.path.join(run, "output")], "intervals": os.path.join(run, "intervals")})

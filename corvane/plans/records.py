@@ -31,12 +31,13 @@ def p1_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def _handled(s: SparkSession, d: str) -> DataFrame:
-    ok = table(s, d, "index_runs").where("run_status = 'ok'").select("run_id")
-    return table(s, d, "run_commits").join(ok, "run_id", "left_semi").select(F.col("commit_hash").alias("hash"), "indexed_at")
+    """What each run took, in the order of the runs, and whether it succeeded."""
+    runs = table(s, d, "index_runs").groupBy("run_id").agg(F.max(F.col("run_status") == "ok").alias("ok"))
+    return table(s, d, "run_commits").join(runs, "run_id", "left").select(F.col("commit_hash").alias("hash"), "indexed_at", "run_id", "ok")
 
 
 def p3_found(s: SparkSession, d: str) -> DataFrame:
-    return incremental.pending(table(s, d, "commits"), _handled(s, d)).select(F.col("key").alias("hash")).distinct()
+    return incremental.pending(table(s, d, "commits"), _handled(s, d), run="run_id", ok="ok").select(F.col("key").alias("hash")).distinct()
 
 
 def p3_next(s: SparkSession, d: str) -> DataFrame:

@@ -103,3 +103,77 @@ def test_ledger_survives_failures_without_skipping_or_repeating(spark, tmp_path)
     assert ledger.gaps(late).count() == 0
     assert sorted(r.seq for r in ledger.output().collect()) == list(range(1, 13))
     assert [(r.lo, r.hi) for r in ledger.processed().collect()] == [(1, 12)]
+
+
+RECORD = "hash string, indexed_at string, message string"
+
+
+def records(spark, data):
+    return spark.createDataFrame(data, RECORD)
+
+
+def test_the_intervals_decide_what_is_pending(spark, monkeypatch):
+    data, done = [("a", "2024-01-01", "x"), ("b", "2024-01-02", "y"), ("b", "2024-01-03", "z")], [("a", "2024-01-01")]
+    assert pending(spark, data, done) == ["b"]
+    monkeypatch.setattr(intervals, "inside", lambda items, gaps: items)
+    assert pending(spark, data, done) == ["a", "b"]
+
+
+def test_late_versions_keep_the_numbers_of_those_that_runs_took(spark):
+    taken = [(f"h{i}", f"2024-01-{i + 1:02}", "x", i % 3) for i in range(12)]
+    done = spark.createDataFrame([(h, at, run, run != 1) for h, at, _, run in taken], "hash string, indexed_at string, run long, ok boolean")
+
+    def numbers(rows):
+        items = incremental.taken_versions(records(spark, rows), done, run="run", ok="ok")
+        order = [incremental.F.col("run").asc_nulls_last(), *map(incremental.F.col, ("at", "key", "digest"))]
+        return {r.k: (r.lane, r.seq) for r in incremental.numbered(items, order, 2).select(incremental._unpacked(incremental.F.col("key")).alias("k"), "lane", "seq").collect()}
+
+    before = numbers([r[:3] for r in taken])
+    after = numbers([r[:3] for r in taken] + [(f"late{i}", "2019-05-05", "x") for i in range(9)])
+    assert before == {k: v for k, v in after.items() if not k.startswith("late")}
+    assert len(set(after.values())) == len(after)
+
+
+def test_ledger_numbers_once_and_takes_what_is_open(spark, tmp_path):
+    ledger = incremental.Ledger(spark, str(tmp_path / "l"), lanes=2)
+    first = [(f"h{i}", "2024-01-02", "x") for i in range(6)]
+    run = ledger.take(records(spark, first))
+    assert sorted(r.key for r in run.rows.collect()) == [f"h{i}" for i in range(6)]
+    numbers = {(bytes(r.key), bytes(r.digest)): (r.lane, r.seq) for r in ledger.journal().collect()}
+    assert ledger.commit(run.rows.select("key"), run)
+    # The same gaps again are refused, and nothing is repeated.
+    assert not ledger.commit(run.rows.select("key"), run)
+    assert ledger.output().count() == 6
+    # Late, changed and replaced records; an old number never moves.
+    second = [*first, ("late", "2019-01-01", "x"), ("h1", "2024-02-01", "new"), ("h2", "2024-02-01", "once"), ("h2", "2024-03-01", "x")]
+    failed = ledger.take(records(spark, second))
+    assert sorted(r.key for r in failed.rows.collect()) == ["h1", "late"]
+    after = {(bytes(r.key), bytes(r.digest)): (r.lane, r.seq) for r in ledger.journal().collect()}
+    assert numbers.items() <= after.items() and len(set(after.values())) == len(after) == 9
+    again = ledger.take(records(spark, second))  # the run before died: the same rows are open under the same numbers
+    assert sorted(map(tuple, again.rows.select("key", "lane", "seq").collect())) == sorted(map(tuple, failed.rows.select("key", "lane", "seq").collect()))
+    assert ledger.commit(again.rows.select("key"), again)
+    assert ledger.take(records(spark, second)).rows.count() == 0
+    assert sorted(r.key for r in ledger.output().collect()) == sorted([f"h{i}" for i in range(6)] + ["h1", "late"])
+    # A replaced version wasn't stored as processed: a record that goes back to it is open again.
+    back = [*second, ("h2", "2024-04-01", "once")]
+    assert [r.key for r in ledger.take(records(spark, back)).rows.collect()] == ["h2"]
+
+
+def test_only_one_of_two_writers_publishes(spark, tmp_path):
+    one, two = (incremental.Ledger(spark, str(tmp_path / "l"), lanes=2) for _ in range(2))
+    data = records(spark, [("a", "2024-01-01", "x"), ("b", "2024-01-01", "x")])
+    a, b = one.take(data), two.take(data)
+    state = two.state()
+    assert one.commit(a.rows.select("key"), a)
+    assert not two.commit(b.rows.select("key"), b)
+    assert not two._publish(state, {"outputs": ["lost"]})  # its number is taken
+    assert sorted(r.key for r in one.output().collect()) == ["a", "b"]
+
+
+def test_ledger_of_empty_and_keyless_records(spark, tmp_path):
+    ledger = incremental.Ledger(spark, str(tmp_path / "l"))
+    run = ledger.take(records(spark, []))
+    assert run.rows.count() == 0 and ledger.commit(run.rows, run)
+    assert ledger.take(records(spark, [(None, "2024-01-01", "x")])).rows.count() == 0
+    assert [r.key for r in ledger.take(records(spark, [("k", None, None), ("k", None, None)])).rows.collect()] == ["k"]
