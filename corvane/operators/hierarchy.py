@@ -2,9 +2,11 @@
 
 Method: weighted disjoint-set forests. Every node is a set element whose link carries the number
 of steps to the node it points at. Links that lie in one partition are compressed there; forests of
-different partitions then merge by joining each open top with its own link (offsets add up, so the
-reach at least doubles a round), and as soon as the open rest fits one block it is compressed as
-one. Rows that reached a root take no part in later rounds. Paths come from the same traversal.
+different partitions then merge in rounds: a join gives each open node the link of its top (offsets add
+up, so the reach at least doubles), and as soon as the open rest fits one block it is compressed as one
+forest before the next join. Nodes that reached a root take no part in later rounds. Paths come from a
+traversal of the parents by index: with the depths known, each round joins a node's ancestors so far
+with those of the last of them, so log2 of the largest depth rounds are enough.
 
 Defined results
     ids: compared and returned in lower case without outer blanks; null and blank ids aren't nodes.
@@ -18,6 +20,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,10 +29,10 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_key
 from ..session import cut
 
-#: Links that one task compresses at once (about 100 bytes each in Python).
+#: Links that one task compresses at once (about 300 bytes each in Python).
 BLOCK_ROWS = 200_000
 
-_FOREST = "id string, top string, steps long, low string, ring string, above array<string>"
+_FOREST = "id string, top string, steps long, low string, ring string"
 
 
 def parents(nodes: DataFrame) -> DataFrame:
@@ -51,8 +54,7 @@ def parents(nodes: DataFrame) -> DataFrame:
 def _compress(forest: dict[str, list]) -> None:
     """Point every node at the furthest node that the links in ``forest`` reach.
 
-    forest: id -> [top, steps, low, ring, above]; ``low`` is the smallest id from the node up to,
-    without, its top; ``above`` the ids passed, the top included, or None.
+    forest: id -> [top, steps, low, ring]; ``low`` is the smallest id from the node up to, without, its top.
     """
     done: set[str] = set()
     for start in forest:
@@ -67,17 +69,16 @@ def _compress(forest: dict[str, list]) -> None:
             ring = chain[place[at] :]
             low = min(forest[x][2] for x in ring)
             for x in ring:
-                forest[x][:] = [low, -1, low, low, None]
+                forest[x][:] = [low, -1, low, low]
             done.update(ring)
             del chain[place[at] :]
         for x in reversed(chain):
             mine, nxt = forest[x], forest.get(forest[x][0])
             if nxt is not None:
                 if nxt[3] is not None:
-                    mine[:] = [nxt[3], -1, nxt[3], nxt[3], None]
+                    mine[:] = [nxt[3], -1, nxt[3], nxt[3]]
                 else:
-                    mine[4] = None if mine[4] is None else mine[4] + nxt[4]
-                    mine[:4] = [nxt[0], mine[1] + nxt[1], min(mine[2], nxt[2]), None]
+                    mine[:] = [nxt[0], mine[1] + nxt[1], min(mine[2], nxt[2]), None]
             done.add(x)
 
 
@@ -87,12 +88,12 @@ def _compressed(links: DataFrame, limit: int | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush(forest: dict[str, list]) -> pd.DataFrame:
             _compress(forest)
-            return pd.DataFrame([[k, *v] for k, v in forest.items()], columns=["id", "top", "steps", "low", "ring", "above"])
+            return pd.DataFrame([[k, *v] for k, v in forest.items()], columns=["id", "top", "steps", "low", "ring"])
 
         forest: dict[str, list] = {}
         for b in batches:
             for row in b.itertuples(index=False):
-                forest[row.id] = [row.top, row.steps, row.low, row.ring, None if row.above is None else list(row.above)]
+                forest[row.id] = [row.top, row.steps, row.low, row.ring]
             if limit is not None and len(forest) >= limit:
                 yield flush(forest)
                 forest = {}
@@ -102,34 +103,33 @@ def _compressed(links: DataFrame, limit: int | None = None) -> DataFrame:
     return links.mapInPandas(run, _FOREST)
 
 
-def roots(links: DataFrame, with_paths: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, root_id, depth, above) of each (id, parent) link; ``above`` lists the ancestors, nearest first, where asked for."""
-    above = F.array("parent") if with_paths else F.lit(None).cast("array<string>")
-    start = links.select(
-        "id", F.col("parent").alias("top"), F.lit(1).cast("long").alias("steps"), F.col("id").alias("low"), F.lit(None).cast("string").alias("ring"), above.alias("above")
-    )
-    forest = cut(_compressed(start, BLOCK_ROWS))
-    n = forest.count()
-    closed: list[DataFrame] = []
-    reach = 1
-    while n > block_rows:
-        nxt = forest.select(
-            F.col("id").alias("top"), F.col("top").alias("t2"), F.col("steps").alias("s2"), F.col("low").alias("l2"), F.col("ring").alias("r2"), F.col("above").alias("a2"), F.lit(True).alias("on")
-        )
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def roots(links: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, root_id, depth) of each (id, parent) link."""
+    start = links.select("id", F.col("parent").alias("top"), F.lit(1).cast("long").alias("steps"), F.col("id").alias("low"), F.lit(None).cast("string").alias("ring"))
+    forest = cut(_compressed(start, block_rows))
+    left, reach = forest.count(), 1
+    closed: list[DataFrame] = [forest.limit(0).withColumn("low", F.lit(None).cast("string"))] if not left else []
+
+    def lookup(df: DataFrame, over: bool) -> DataFrame:
+        return df.select(F.col("id").alias("top"), F.col("top").alias("t2"), F.col("steps").alias("s2"), F.col("low").alias("l2"), F.col("ring").alias("r2"), F.lit(over).alias("over"))
+
+    while left:
+        n = left
         # Closed rows stay in the lookup side: an open row may still point at them.
-        if closed:
-            for c in closed:
-                nxt = nxt.unionByName(c.select(F.col("id").alias("top"), F.col("top").alias("t2"), F.col("steps").alias("s2"), F.col("low").alias("l2"), F.col("ring").alias("r2"), F.col("above").alias("a2"), F.lit(True).alias("on")))
-        own_ring, next_ring = F.col("ring").isNotNull(), F.col("r2").isNotNull()
+        ahead = _union([lookup(forest, False), *[lookup(c, True) for c in closed]])
         ring = F.coalesce("ring", "r2")
-        step = forest.join(nxt, "top", "left").select(
+        step = forest.join(ahead, "top", "left").select(
             "id",
-            F.when(own_ring, F.col("top")).when(next_ring, F.col("r2")).otherwise(F.coalesce("t2", "top")).alias("top"),
+            F.coalesce("ring", "r2", "t2", "top").alias("top"),
             F.when(ring.isNotNull(), F.lit(-1)).otherwise(F.col("steps") + F.coalesce("s2", F.lit(0))).cast("long").alias("steps"),
-            F.when(ring.isNotNull(), ring).otherwise(F.least("low", "l2")).alias("low"),
+            F.least("low", "l2").alias("low"),
             ring.alias("ring"),
-            F.when(ring.isNull(), F.concat("above", F.coalesce("a2", F.array().cast("array<string>")))).alias("above"),
-            (ring.isNotNull() | F.col("on").isNull()).alias("closed"),
+            # A top without a link is a root, and so is the top of a closed row.
+            (ring.isNotNull() | F.coalesce("over", F.lit(True))).alias("closed"),
         )
         step = cut(step)
         closed.append(step.where("closed").drop("closed"))
@@ -138,38 +138,36 @@ def roots(links: DataFrame, with_paths: bool = False, block_rows: int = BLOCK_RO
         reach *= 2
         if left == n and reach > 2 * n:
             # Only cycles and what hangs on them are left, and every top lies on its cycle by now.
-            low = forest.select(F.col("id").alias("top"), F.col("low").alias("low2"))
-            on = forest.select("top").distinct().join(low, "top")
-            closed.append(
-                forest.join(on, "top").select("id", F.col("low2").alias("top"), F.lit(-1).cast("long").alias("steps"), F.col("low2").alias("low"), F.col("low2").alias("ring"), F.lit(None).cast("array<string>").alias("above"))
-            )
-            forest, left = None, 0
-        n = left
-        if not n:
+            low = forest.select(F.col("id").alias("top"), F.col("low").alias("ring"))
+            closed.append(forest.drop("ring").join(low, "top").select("id", F.col("ring").alias("top"), F.lit(-1).cast("long").alias("steps"), "low", "ring"))
             break
-    if forest is not None:
-        rest = forest
-        if closed:
-            # The last block also needs the links of the closed rows that its tops point at.
-            known = closed[0]
-            for c in closed[1:]:
-                known = known.unionByName(c)
-            tops = forest.select(F.col("top").alias("id")).distinct()
-            rest = forest.unionByName(known.join(tops, "id", "left_semi"))
-        # One block whatever its size: at most ``block_rows`` open links and a closed one for each of their tops.
-        one = _compressed(rest.coalesce(1))
-        closed.append(one if not closed else one.join(forest.select("id"), "id", "left_semi"))
-    out = closed[0]
-    for c in closed[1:]:
-        out = out.unionByName(c)
-    return out.select("id", F.coalesce("ring", "top").alias("root_id"), F.when(F.col("ring").isNotNull(), -1).otherwise(F.col("steps")).cast("long").alias("depth"), "above")
+        if 0 < left <= block_rows:
+            forest = cut(_compressed(forest.coalesce(1)))
+    return _union(closed).select("id", F.coalesce("ring", "top").alias("root_id"), F.when(F.col("ring").isNotNull(), -1).otherwise(F.col("steps")).cast("long").alias("depth"))
+
+
+def ancestors(links: DataFrame, depths: DataFrame) -> DataFrame:
+    """(id, above): the ancestors, nearest first, of each node with a positive depth. ``depths``: (id, depth) of the links."""
+    state = cut(links.join(depths.where("depth > 0"), "id").select("id", F.col("parent").alias("top"), "depth", F.array("parent").alias("above")))
+    most = state.agg(F.max("depth")).first()[0] or 1
+    done = [state.where("depth = 1")]
+    more = state.where("depth > 1")
+    reach = 1
+    while reach < most:
+        ahead = _union([more, *done]).select(F.col("id").alias("top"), F.col("top").alias("t2"), F.col("above").alias("a2"))
+        step = cut(more.join(ahead, "top").select("id", F.col("t2").alias("top"), "depth", F.concat("above", "a2").alias("above")))
+        done.append(step.where(F.size("above") == F.col("depth")))
+        more = step.where(F.size("above") < F.col("depth"))
+        reach *= 2
+    return _union(done).select("id", "above")
 
 
 def hierarchy(nodes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, parent, root_id, depth, path) of every node; path runs from the root down to the node."""
     p = cut(parents(nodes))
-    found = roots(p.where("parent is not null"), True, block_rows)
-    return p.join(found, "id", "left").select(
+    links = p.where("parent is not null")
+    found = roots(links, block_rows)
+    return p.join(found, "id", "left").join(ancestors(links, found), "id", "left").select(
         "id",
         "parent",
         F.coalesce("root_id", "id").alias("root_id"),
@@ -180,5 +178,7 @@ def hierarchy(nodes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 def descendants(nodes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, descendant_id, distance), one row per pair: a node with many descendants is many rows, never one list."""
-    h = hierarchy(nodes, block_rows).where("depth > 0")
-    return h.select(F.col("id").alias("descendant_id"), "depth", F.posexplode("path").alias("pos", "id")).where("pos < depth").select("id", "descendant_id", (F.col("depth") - F.col("pos")).alias("distance"))
+    p = cut(parents(nodes)).where("parent is not null")
+    found = roots(p, block_rows)
+    above = ancestors(p, found)
+    return above.select(F.posexplode("above").alias("pos", "id"), F.col("id").alias("descendant_id")).select("id", "descendant_id", (F.col("pos") + 1).cast("long").alias("distance"))

@@ -19,6 +19,7 @@ def local_session(cpus: int = 8, memory: str = "12g", partitions: int = 8) -> Sp
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -32,7 +33,9 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        # Only a session without the setting (tests on one machine) gets a folder of its own.
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        # Only a session of one machine (tests) gets a folder of its own.
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "corvane-checkpoints"))
 
 
