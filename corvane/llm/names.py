@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,47 +49,71 @@ Q = 3
 #: Letters that a short form may leave out after a beginning, and before an ending.
 BEGINNING, ENDING = 9, 5
 
-#: Short forms of given names that are no beginning or end of the full form.
+#: Widely used short forms of given names that no rule gives (beginnings, ends and forms like Danny or Debbie follow by rule).
 SHORT_FORMS = {
-    "alexander": "alec alek sandy sasha sascha xander",
+    "abigail": "gail",
+    "albert": "bertie",
+    "alexander": "alec alek sandy sasha sascha",
+    "alexandra": "sandra sasha",
     "andrew": "andy drew",
-    "anthony": "tony toni",
-    "benjamin": "benji benny",
-    "christopher": "chris kit topher",
-    "daniel": "danny dani",
+    "anthony": "tony",
+    "barbara": "babs",
+    "benjamin": "benji",
+    "catherine": "kate katie kathy kitty kit",
+    "charles": "chuck",
+    "christina": "tina",
+    "christopher": "kit topher",
+    "david": "dave",
     "dmitri": "dima mitya",
+    "dorothy": "dot dolly dottie",
+    "edward": "ted teddy ned",
     "ekaterina": "katya katia kate",
-    "elizabeth": "beth betsy betty bess eliza liz lizzie liza lisa",
-    "francesca": "fran frankie cesca",
-    "francois": "frank fanch",
-    "gabriela": "gabby gabi gaby",
-    "gregory": "greg gregor",
-    "ines": "ina nes agnes",
-    "jennifer": "jen jenny jenni",
-    "jonathan": "jon jonny john johnny nathan",
-    "jose": "pepe pep",
-    "katherine": "kate kathy katie kat kitty",
-    "leonardo": "leo nardo len",
-    "margaret": "maggie meg peggy marge greta",
-    "matthew": "matt matty",
-    "maximilian": "max maxi",
-    "michael": "mick mike mickey mikey micky",
-    "mohamed": "mo hamed mohammed muhammad",
+    "eleanor": "nell nelly",
+    "elizabeth": "betsy betty bess liz lizzie liza lisa",
+    "florence": "flossie",
+    "frances": "frankie",
+    "francis": "frank frankie",
+    "francisco": "paco pancho",
+    "gabriela": "gabby",
+    "gerald": "jerry",
+    "giuseppe": "beppe",
+    "harold": "hal harry",
+    "helen": "nell",
+    "henry": "hank harry hal",
+    "jacob": "jake",
+    "james": "jim jimmy",
+    "joao": "joca",
+    "john": "jack",
+    "jonathan": "john johnny jonny",
+    "jose": "pepe",
+    "joseph": "joe",
+    "katherine": "kate katie kathy kitty kit",
+    "lawrence": "larry",
+    "margaret": "peggy peg meg maggie greta",
+    "martha": "patty",
+    "mary": "molly polly",
+    "matilda": "tilly",
+    "michael": "mike mikey mick mickey micky",
+    "mikhail": "misha",
+    "mohamed": "mohammed muhammad mohammad",
     "nicholas": "nick nicky nico klaus",
-    "rebecca": "becca becky",
-    "richard": "dick rick ricky rich richie",
-    "robert": "bob bobby rob robbie bert",
-    "samuel": "sam sammy",
-    "sebastian": "bastian basti seb",
-    "tatiana": "tanya tania tati",
-    "theodore": "ted teddy theo",
+    "patricia": "trish",
+    "patrick": "paddy",
+    "rebecca": "becky becca",
+    "richard": "dick rick ricky",
+    "robert": "bob bobby",
+    "sarah": "sally sadie",
+    "stephen": "steve",
+    "susan": "suzy",
+    "tatiana": "tanya tania",
+    "theodore": "ted teddy",
     "thomas": "tom tommy",
-    "valentina": "tina val valya",
-    "victoria": "tori vic vicky vicki",
-    "wei": "weiwei way",
-    "william": "bill billy will willy liam",
-    "zachary": "zac zach zack zak",
-    "zoe": "zo zozo zoey",
+    "victoria": "vicky vicki tori",
+    "virginia": "ginny",
+    "vladimir": "vova volodya",
+    "william": "bill billy",
+    "yevgeny": "zhenya",
+    "zachary": "zack zak",
 }
 #: Words of team names that tell nothing.
 GENERIC = ["the", "team", "group", "squad", "crew", "lists", "list"]
@@ -228,9 +253,10 @@ def similar_tokens(tokens: DataFrame, similarity: float = 0.43, recall: float =
                     keys = _bands(long, rows, bands)
                     yield pd.DataFrame({"key": keys.ravel(), "token": np.repeat(np.array(long, object), bands)})
 
-    # Few bytes become many rows here, so the tokens are spread by number. The band is part of the key.
-    spread = tokens.repartition(tokens.sparkSession.sparkContext.defaultParallelism * 2, "token")
-    keyed = cut(spread.mapInPandas(sketch, "key long, token string"))
+    # Few bytes become many rows here, so the tokens are spread by number, by an expression that no earlier
+    # shuffle has, or Spark would leave the shuffle out. The band is part of the key.
+    spread = tokens.repartition(tokens.sparkSession.sparkContext.defaultParallelism * 2, F.xxhash64("token"))
+    keyed = cut(spread.mapInPandas(sketch, "key long, token string").repartition("key"))
     # One token more than fits in a bucket makes a further part of it; parts are compared crosswise.
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int"))
     part = F.pmod(F.xxhash64("token"), F.col("parts")).cast("int").alias("part")
@@ -259,6 +285,15 @@ def similar_tokens(tokens: DataFrame, similarity: float = 0.43, recall: float =
 # ---- views that resemble each other ----
 
 
+def _diminutive(a: str, b: str) -> bool:
+    """Whether ``a`` is a beginning of ``b`` with its last letter doubled and -y, -ie or -i (Danny, Jenni, Debbie)."""
+    for end in ("ie", "y", "i"):
+        stem = a[: -len(end)]
+        if a.endswith(end) and len(stem) >= 4 and stem[-1] == stem[-2]:
+            return len(b) >= len(stem) and b.startswith(stem[:-1]) and len(b) <= len(stem) + BEGINNING
+    return False
+
+
 def token_similarity(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -274,6 +309,8 @@ def token_similarity(a: str, b: str) -> float:
         return 0.88 if b.startswith(a) else 0.0
     if len(b) >= 4 and ((b.startswith(a) and len(b) <= len(a) + BEGINNING) or (b.endswith(a) and len(b) <= len(a) + ENDING)):
         return 0.95
+    if _diminutive(a, b) or _diminutive(b, a):
+        return 0.95
     # A short form with a typo in it.
     if len(a) >= 4 and any(one_edit(a, f) for r in _ROOTS.get(b, ()) for f in SHORT_FORMS[r].split() if len(f) >= 4):
         return 0.9
@@ -453,12 +490,12 @@ def _whole_links(keyed: DataFrame, placed: DataFrame) -> DataFrame:
     equal = common.select("id", "whole").join(groups, "whole").where("id <> first").select("id", F.col("first").alias("other"), F.lit(0.9).alias("score"))
     if wanted.isEmpty():
         return _ordered(equal)
-    # In short names one letter may be the whole difference.
-    near = similar_tokens(groups.where(F.length("whole") >= 2 * TELLING).select(F.col("whole").alias("token")), WHOLE, exact=14)
+    # In short names one letter may be the whole difference. A typo that makes a common token telling is
+    # found under the common one, so only wholes of common tokens meet here.
+    near = similar_tokens(wanted.where(F.length("whole") >= 2 * TELLING).select(F.col("whole").alias("token")), WHOLE, exact=14)
     near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = lambda s: groups.select(F.col("whole").alias(s), F.col("first").alias(f"{s}_first"), F.col("n").alias(f"{s}_n"))
-    kept = near.join(wanted.withColumnRenamed("whole", "a"), "a", "left_semi").unionByName(near.join(wanted.withColumnRenamed("whole", "b"), "b", "left_semi")).distinct()
-    kept = kept.join(side("a"), "a").join(side("b"), "b").where(F.struct("a_n", "a") > F.struct("b_n", "b"))
+    kept = near.join(side("a"), "a").join(side("b"), "b").where(F.struct("a_n", "a") > F.struct("b_n", "b"))
     typos = kept.select("a_first", F.col("b").alias("whole")).join(names.select("id", "whole").distinct(), "whole")
     return _ordered(equal.unionByName(typos.where("id <> a_first").select("id", F.col("a_first").alias("other"), F.lit(0.88).alias("score"))))
 
@@ -467,15 +504,18 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y"), "score")
 
 
-def stars(edges: DataFrame, rank: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, centre) of the linked ids. ``rank``: (id, full, weight); a centre is a free id that no free neighbour outranks."""
+def stars(edges: DataFrame, rank: DataFrame) -> DataFrame:
+    """(id, centre) of the linked ids. ``rank``: (id, full, weight); a centre is a free id that no free neighbour outranks.
+
+    Each round settles the first of the free ids at least, and rounds go on until none is free.
+    """
     both = edges.select(F.col("x").alias("id"), F.col("y").alias("other"), "score").unionByName(edges.select(F.col("y").alias("id"), F.col("x").alias("other"), "score"))
     degree = both.groupBy("id").agg(F.sum("score").alias("degree"))
     order = degree.join(rank, "id", "left").select("id", F.struct(F.coalesce("full", F.lit(0)).alias("full"), F.round("degree", 6).alias("degree"), F.coalesce("weight", F.lit(0)).alias("weight"), "id").alias("o"))
     open_edges = cut(both.join(order, "id").join(order.select(F.col("id").alias("other"), F.col("o").alias("p")), "other"))
     nodes = cut(order.select("id"))
     done: list[DataFrame] = []
-    for _ in range(rounds):
+    while True:
         # Free ids without a free neighbour above them, or without any.
         above = open_edges.where("p > o").select("id").distinct()
         centres = nodes.join(above, "id", "left_anti")
@@ -487,10 +527,9 @@ def stars(edges: DataFrame, rank: DataFrame, rounds: int = 50) -> DataFrame:
         if nodes.isEmpty():
             break
         open_edges = cut(open_edges.join(ids, "id", "left_anti").join(ids.select(F.col("id").alias("other")), "other", "left_anti"))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+        if len(done) == 16:
+            done = [cut(reduce(DataFrame.unionByName, done))]
+    return reduce(DataFrame.unionByName, done)
 
 
 def variants(people: DataFrame, authors: DataFrame | None = None) -> DataFrame:

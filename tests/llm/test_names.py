@@ -154,3 +154,41 @@ def test_names_of_short_tokens_only(spark):
     one, two, three, four = ["Wei Chen", "W. Chen", "Chen, Wei"], ["Jon Khan", "J. Khan"], ["Robert Hunt", "Bob Hunt"], ["Li Xu", "L. Xu"]
     people = simple(*one, *two, *three, *four, "Mei Chen", "Dan Chen", "Jon Park", "Ann Hunt")
     assert groups(clusters(spark, people), people) == {frozenset(one), frozenset(two), frozenset(three), frozenset(four)}
+
+
+def test_stars_of_a_long_chain_keep_every_id(spark):
+    n = 40
+    edges = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}", 1.0) for k in range(n - 1)], "x string, y string, score double")
+    rank = spark.createDataFrame([(f"n{k:03}", 0, k) for k in range(n)], "id string, full int, weight long")
+    got = {r.id: r.centre for r in N.stars(edges, rank).collect()}
+    assert set(got) == {f"n{k:03}" for k in range(n)}
+    assert all(abs(int(a[1:]) - int(b[1:])) <= 1 for a, b in got.items())
+
+
+def test_a_surname_of_many_times_hot(spark):
+    """Recall where one surname has more than ten times ``HOT`` rows."""
+    rng = random.Random(17)
+    letters = "abcdefghijklmnoprstuvwy"
+    people, true = [], set()
+    for k in range(10 * N.HOT // 4 + 1):
+        given = "".join(rng.choice(letters) for _ in range(9))
+        at = rng.randrange(1, 7)
+        spelled = [f"{given} Smithson", f"SMITHSON, {given.upper()}", f"{given[:at]}{given[at + 1]}{given[at]}{given[at + 2 :]} Smithson", f"{given[:4]} Smithson"]
+        ids = [f"p{k:04}{j}" for j in range(len(spelled))]
+        people += [(i, n, None, None, 1) for i, n in zip(ids, spelled)]
+        true |= {(a, b) for a in ids for b in ids if a < b}
+    got = clusters(spark, people)
+    assert len(got & true) / len(true) >= 0.9 and len(got & true) / len(got) >= 0.9
+
+
+def test_tokens_are_sketched_by_many_tasks(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(N, "cut", lambda df, f=N.cut: kept.append(df) or f(df))
+    words = spark.range(4000).selectExpr("concat('token', cast(xxhash64(id) as string)) token").distinct().repartition(spark.sparkContext.defaultParallelism * 2, "token")
+    N.similar_tokens(words.groupBy("token").count().select("token")).count()
+    assert "xxhash64(token" in kept[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_of_short_forms():
+    assert all(N.token_similarity(*p) > 0.9 for p in (("danny", "daniel"), ("debbie", "deborah"), ("jenni", "jennifer"), ("jim", "james"), ("bill", "william")))
+    assert not any(N.token_similarity(*p) for p in (("mary", "martin"), ("lucy", "lucas"), ("jimmy", "jason")))
