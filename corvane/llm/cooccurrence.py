@@ -31,8 +31,8 @@ from ..session import cut
 BLOCK_ITEMS = 65_536
 #: Slices of at most so many items of one basket are multiplied with each other in one task.
 WIDE = 256
-#: Up to so many items (about 100 bytes each) the item table is broadcast; beyond, it is joined by shuffle.
-BROADCAST_ITEMS = 200_000
+#: Up to so many items, and bytes of their names, the item table is broadcast; beyond, it is joined by shuffle.
+BROADCAST_ITEMS, BROADCAST_BYTES = 200_000, 16_000_000
 #: Pairs a task holds before it sums them up.
 _HELD = 2_000_000
 
@@ -97,9 +97,10 @@ def pair_counts(pairs: DataFrame, min_together: int = 1) -> DataFrame:
     """
     spark = pairs.sparkSession
     # Summed by (basket, item) first: a repeated row or a hot basket is small before it is shuffled.
-    seen = pairs.where("basket is not null and item is not null").select("basket", "item").distinct()
+    seen = cut(pairs.where("basket is not null and item is not null").select("basket", "item").distinct())
     counts = cut(seen.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_together))
-    n_items = counts.count()
+    n_items, n_bytes = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("item")), F.lit(0))).first()
+    small = n_items <= BROADCAST_ITEMS and n_bytes <= BROADCAST_BYTES
     if not n_items:
         return spark.createDataFrame([], "item_a string, item_b string, n_ab long, n_a long, n_b long")
     blocks = -(-n_items // BLOCK_ITEMS)
@@ -107,7 +108,7 @@ def pair_counts(pairs: DataFrame, min_together: int = 1) -> DataFrame:
     ranged = counts.repartitionByRange(blocks, F.desc("n"), "item") if blocks > 1 else counts.coalesce(1)
     items = cut(ranged.withColumn("id", F.monotonically_increasing_id()))
     lookup = items.select("item", "id")
-    if n_items <= BROADCAST_ITEMS:
+    if small:
         lookup = F.broadcast(lookup)
     rows = cut(
         seen.join(lookup, "item")
@@ -133,7 +134,7 @@ def pair_counts(pairs: DataFrame, min_together: int = 1) -> DataFrame:
     together = products.groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= min_together)
     a = items.select(F.col("id").alias("a"), F.col("item").alias("ia"), F.col("n").alias("na"))
     b = items.select(F.col("id").alias("b"), F.col("item").alias("ib"), F.col("n").alias("nb"))
-    if n_items <= BROADCAST_ITEMS:
+    if small:
         a, b = F.broadcast(a), F.broadcast(b)
     named = together.join(a, "a").join(b, "b")
     swap = F.col("ia") > F.col("ib")

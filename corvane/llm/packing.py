@@ -11,7 +11,8 @@ Items above the capacity are cut into full containers and a rest; others are nev
 
 Defined results
     empty items (size 0 or null): one row of size 0 in a container. Null source: a source of its own.
-    repeated ids: each row is an item. Empty tables: no rows. Ties: by id.
+    repeated ids: each row is an item; of equal rows too many for one block some go to further blocks.
+    Empty tables: no rows. Ties: by id.
     ``container``: block number * 2^32 + number within the block.
 """
 
@@ -115,6 +116,53 @@ def _pack(block: pd.DataFrame, capacity: int, window: int) -> pd.DataFrame:
     })
 
 
+def _spread(rows: DataFrame, blocks: int, block_items: int) -> DataFrame:
+    """The rows, those of a block that equal rows made too large on blocks of their own number."""
+    large = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * block_items).collect()  # fewer than blocks / 2
+    if not large:
+        return rows
+    more = -(-sum(r["n"] for r in large) // block_items)
+    further = F.lit(blocks) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(more))
+    return rows.withColumn("block", F.when(F.col("block").isin([r["block"] for r in large]), further).otherwise(F.col("block")))
+
+
+#: Blocks whose sums one task adds up.
+_SPAN = 1024
+
+
+def _sums_before(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the blocks before, within ``by``: over spans of blocks, then over the spans' totals."""
+    placed = rows.withColumn("_span", F.floor(F.col("block") / _SPAN))
+    inner = Window.partitionBy(*by, "_span").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = placed.groupBy(*by, "_span").agg(F.sum(value).alias("_all"))
+    spans = spans.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("_span").alias("_s"), F.coalesce(F.sum("_all").over(outer), F.lit(0)).alias("_before"))
+    same = F.col("_span") == F.col("_s")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    joined = placed.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(spans, same)
+    return joined.withColumn(name, F.col("_in") + F.col("_before")).select(*rows.columns, name)
+
+
+def mixture(packed: DataFrame, target: DataFrame) -> DataFrame:
+    """(block, win, source, got, wanted): tokens of each source up to and with each window, and what the target asks of the block so far.
+
+    ``target``: (source, weight). A source is owed its share of every window of its block until it has run out.
+    """
+    per = packed.groupBy(F.shiftright("container", 32).alias("block"), "win", "source").agg(F.sum("n_tokens").alias("tokens"))
+    last = per.groupBy("block", "source").agg(F.max("win").alias("last"))
+    windows = per.groupBy("block", "win").agg(F.sum("tokens").alias("all"))
+    t = target.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("weight"))
+    owed = windows.join(last, "block").where("win <= last").join(t, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).drop("_s")
+    among = Window.partitionBy("block", "win")
+    share = F.try_divide(F.col("weight"), F.sum("weight").over(among))
+    owed = owed.withColumn("share", F.coalesce(share, 1 / F.count(F.lit(1)).over(among)) * F.col("all"))
+    p = per.select(F.col("block").alias("_b"), F.col("win").alias("_w"), F.col("source").alias("_s"), "tokens")
+    rows = owed.join(p, (F.col("block") == F.col("_b")) & (F.col("win") == F.col("_w")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+    upto = Window.partitionBy("block", "source").orderBy("win")
+    return rows.select("block", "win", "source", F.sum(F.coalesce("tokens", F.lit(0))).over(upto).alias("got"), F.sum("share").over(upto).alias("wanted"))
+
+
 def pack(
     items: DataFrame,
     capacity: int = 2048,
@@ -133,7 +181,8 @@ def pack(
     rows = cut(items.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size"), F.col(source_col).cast("string").alias("source")))
     blocks = max(1, -(-rows.count() // block_items))
     # The size takes part in the hash so that rows that share an id spread, too.
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "size", "source"), F.lit(blocks)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "size", "source"), F.lit(blocks)).cast("long"))
+    rows = _spread(rows, blocks, block_items)
     per = rows.groupBy("block", "source").agg(F.sum("size").alias("tokens"))
     totals = per.groupBy("source").agg(F.sum("tokens").alias("weight"))
     if target is not None:
@@ -143,11 +192,9 @@ def pack(
     totals = totals.crossJoin(F.broadcast(whole)).select(F.col("source").alias("s2"), F.coalesce(F.try_divide(F.col("weight"), F.col("all")), F.lit(0.0)).alias("weight"))
     # What the blocks before left a source short of (or gave it too much), by running sums over the blocks.
     in_block = per.groupBy("block").agg(F.sum("tokens").alias("block_tokens"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    in_block = in_block.select("block", F.coalesce(F.sum("block_tokens").over(before), F.lit(0)).alias("all_before"))
-    own = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    in_block = _sums_before(in_block, [], "block_tokens", "all_before").select("block", "all_before")
     start = (
-        per.withColumn("own_before", F.coalesce(F.sum("tokens").over(own), F.lit(0)))
+        _sums_before(per, ["source"], "tokens", "own_before")
         .join(in_block, "block")
         .join(totals, F.col("source").eqNullSafe(F.col("s2")))
         .select(F.col("block").alias("b2"), F.col("source").alias("s3"), "weight", (F.col("weight") * F.col("all_before") - F.col("own_before")).alias("deficit"))

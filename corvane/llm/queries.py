@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..session import table
 from . import cooccurrence, names, packing, repetition, splitting, tokens
 
@@ -17,6 +18,17 @@ def p2_pieces(s: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(s, d, "text_units"), oversized_only=True)
 
 
+def p2_cover(s: SparkSession, d: str) -> DataFrame:
+    """Per oversized unit: its texts, and whether their pieces give them back, keep to the limit and share 400 characters with the one before."""
+    own = F.when(F.col("piece") == 0, F.col("content")).otherwise(F.substr("content", F.lit(401)))
+    before = F.lag("stop").over(Window.partitionBy("id", "item").orderBy("piece"))
+    p = p2_pieces(s, d).select("id", "item", "piece", own.alias("own"), (F.length("content") <= 4800).alias("within"), F.coalesce(F.col("start") == before - 400, F.lit(True)).alias("shares"))
+    # Few pieces an item, whatever the number of items.
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "own"))), lambda x: x["own"]), "")
+    items = p.groupBy("id", "item").agg((F.xxhash64(whole) == F.col("item")).alias("rebuilt"), F.bool_and("within").alias("within"), F.bool_and("shares").alias("shares"))
+    return items.groupBy("id").agg(F.count(F.lit(1)).alias("n_texts"), *[F.bool_and(c).alias(c) for c in ("rebuilt", "within", "shares")])
+
+
 def _people(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     people = table(s, d, "entities").where("type = 'PERSON'").select("id", "name", "aliases", "metadata", "frequency")
     return people, table(s, d, "commits").select("author_name", "author_email")
@@ -64,8 +76,37 @@ def p8_fill(s: SparkSession, d: str) -> DataFrame:
     return p8_packed(s, d).groupBy("container").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").alias("used")).withColumn("free", 2048 - F.col("used"))
 
 
+def _even(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents packed to equal shares of all sources, and those shares."""
+    sizes = session.cut(tokens.count(table(s, d, "documents"), ["doc_id", "source"]))
+    target = sizes.select("source").distinct().withColumn("weight", F.lit(1.0))
+    return packing.pack(sizes, target=target), target
+
+
+def p8_mixture(s: SparkSession, d: str) -> DataFrame:
+    """(block, win, source, got, wanted) where every source is to give as many tokens to each window."""
+    m = packing.mixture(*_even(s, d))
+    return m.select("block", "win", "source", "got", F.round("wanted", 3).alias("wanted"))
+
+
+def p8_checks(s: SparkSession, d: str) -> DataFrame:
+    """Documents packed, and counts of what must not be: overfull containers, gaps or overlaps in them, cut documents that fit, and lost parts."""
+    p = session.cut(p8_packed(s, d))
+    boxes = p.withColumn("free", F.col("at") - F.coalesce(F.lag(F.col("at") + F.col("n_tokens")).over(Window.partitionBy("container").orderBy("at", "n_tokens")), F.lit(0)))
+    boxes = boxes.agg(F.count_if(F.col("at") + F.col("n_tokens") > 2048).alias("n_overfull"), F.count_if(F.col("free") != 0).alias("n_gaps"))
+    docs = p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"), F.sum("n_tokens").alias("t"), F.min(F.when(F.col("n_tokens") < 2048, F.col("piece"))).alias("rest"))
+    true = tokens.count(table(s, d, "documents"), ["doc_id"]).join(docs, "doc_id", "left")
+    docs = true.agg(
+        F.count(F.lit(1)).alias("n_documents"),
+        F.count_if(F.col("n_tokens").eqNullSafe(F.col("t")) & (F.col("n") == F.col("last") + 1)).alias("n_whole"),
+        F.count_if((F.col("n") > 1) & (F.col("n_tokens") <= 2048)).alias("n_cut"),
+        F.count_if(F.col("rest") < F.col("last")).alias("n_short"),
+    )
+    return docs.join(boxes, F.lit(True))
+
+
 def p9_found(s: SparkSession, d: str) -> DataFrame:
-    found = repetition.repetition(table(s, d, "documents"), runs=(6,), lines=False)
+    found = repetition.repetition(table(s, d, "documents"))
     return found.where("n_words > 0 and 10 * words_6 >= 3 * n_words").select("doc_id").distinct()
 
 
@@ -74,7 +115,7 @@ def p9_shares(s: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", "n_words", F.round(repetition.share("words_6", "n_words"), 6).alias("word_share"), *[F.round(repetition.share(f"chars_{n}", "n_chars"), 6).alias(f"char_share_{n}") for n in (3, 6, 12)], F.round(repetition.share("line_rep", "line_chars"), 6).alias("line_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_members, p5_found, p5_pairs, p7_ids, p7_decoded, p8_packed, p8_sizes, p8_fill, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_cover, p4_found, p4_members, p5_found, p5_pairs, p7_ids, p7_decoded, p8_packed, p8_sizes, p8_fill, p8_mixture, p8_checks, p9_found, p9_shares)}
 
 _BASKETS = r"""
 with merge as (select distinct hash from commits where len(parent_hashes) > 1),
@@ -93,7 +134,26 @@ with w as (select doc_id, regexp_extract_all(lower(text), '[\p{Han}\p{Hiragana}\
  d as (select doc_id, n, i from (select *, row_number() over (partition by doc_id, g order by i) k from s) where k > 1),
  r as (select doc_id, any_value(n) n, count(distinct j) rep from (select doc_id, n, unnest(range(i, i + 6)) j from d) group by doc_id)
 """
+_SHARES = _WORDS + "".join(
+    rf""",
+ s{n} as (select doc_id, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i+{n - 1}], ' '))) g, unnest(range(1, len(w) - {n - 2})) i from w where len(w) >= {n}),
+ d{n} as (select doc_id, i from (select *, row_number() over (partition by doc_id, g order by i) k from s{n}) where k > 1),
+ r{n} as (select j.doc_id, count(*) words, sum(length(w.w[j.j])) chars from (select distinct doc_id, unnest(range(i, i + {n})) j from d{n}) j join w using (doc_id) group by 1)"""
+    for n in (3, 6, 12)
+) + r""",
+ l0 as (select doc_id, unnest(string_split(lower(text), chr(10))) l, generate_subscripts(string_split(lower(text), chr(10)), 1) i from documents),
+ l1 as (select doc_id, i, trim(l, concat(chr(9), chr(11), chr(12), chr(13), ' ', chr(160), chr(12288))) l from l0),
+ l2 as (select doc_id, length(l) n, row_number() over (partition by doc_id, l order by i) k from l1 where l <> ''),
+ l as (select doc_id, sum(n) line_chars, sum(case when k > 1 then n else 0 end) line_rep from l2 group by 1),
+ z as (select doc_id, len(w) n_words, list_sum(list_transform(w, lambda x: length(x))) n_chars from w)
+ select x.doc_id, coalesce(z.n_words, 0) n_words, round(coalesce(r6.words / nullif(n_words, 0), 0), 6) word_share, round(coalesce(r3.chars / nullif(z.n_chars, 0), 0), 6) char_share_3,
+  round(coalesce(r6.chars / nullif(z.n_chars, 0), 0), 6) char_share_6, round(coalesce(r12.chars / nullif(z.n_chars, 0), 0), 6) char_share_12, round(coalesce(line_rep / nullif(line_chars, 0), 0), 6) line_share
+ from documents x left join z using (doc_id) left join r3 using (doc_id) left join r6 using (doc_id) left join r12 using (doc_id) left join l using (doc_id)
+"""
 ORACLE = {
+    "p2_cover": 'select id, count(distinct content) n_texts, true rebuilt, true as "within", true shares from text_units where length(content) > 4800 group by id',
+    "p8_checks": "select count(*) n_documents, count(*) n_whole, 0 n_cut, 0 n_short, 0 n_overfull, 0 n_gaps from documents",
+    "p9_shares": _SHARES,
     "p2_found": "select distinct id from text_units where length(content) > 4800",
     "p5_found": _BASKETS + "select path_a, path_b from pairs where n_ab >= 6 and 100 * n_ab * n_ab >= 9 * n_a * n_b and n_ab * n >= 3 * n_a * n_b",
     "p5_pairs": _BASKETS + "select path_a, path_b, n_ab, n_a, n_b, round(n_ab * n::double / (n_a::double * n_b), 6) lift from pairs",

@@ -9,10 +9,11 @@ Sizes are estimated tokens of four characters (code points): ceil(characters / 4
 
 Defined results
     null and empty contents and contents within the limit: one piece (``split``), or none where only
-    oversized items are asked for. Rows repeated with the same content: once, with the largest of
-    their hash lists. Pieces cover the content; each starts ``overlap`` before the end of the last.
+    oversized items are asked for. Rows repeated with the same content: once, with the sorted union
+    of their hash lists. Pieces cover the content; each starts ``overlap`` before the end of the last.
     ``commit_hashes``: hashes of the headers whose lines the piece holds, as listed by the item, else
-    the seven digits of the header; items without headers name all their hashes in each piece.
+    the seven digits of the header; text before the first header belongs to the listed hashes without a
+    header, or to the first header if there are none; items without headers name all hashes in each piece.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHARS_PER_TOKEN = 4
+#: Characters of pieces that go back to the JVM at once.
+FRAME_CHARS = 4_000_000
 _HEADER = regex.compile(r"\[([0-9a-f]{7})\] \d{4}-\d{2}-\d{2} ")
 _LINE = regex.compile(r"(?:\r\n|\n|\r)+")
 _FILE = regex.compile(r"(?:  |--- )\S.* \+\d+-\d+[ \t]*(?=[\r\n]|$)")
@@ -95,6 +98,10 @@ def pieces(text: str, hashes: list[str], limit: int, overlap: int) -> list[dict]
         full.setdefault(h[:7].lower(), h)
     heads = [(m.start(), full.get(m[1], m[1])) for m in _HEADER.finditer(text)]
     stops = [p for p, _ in heads[1:]] + [len(text)]
+    if heads and heads[0][0] > 0 and text[: heads[0][0]].strip():
+        headed = {h for _, h in heads}
+        before = [h for h in dict.fromkeys(hashes) if h and h not in headed] or [heads[0][1]]
+        heads, stops = [(0, h) for h in before] + heads, [heads[0][0]] * len(before) + stops
     out, ends = [], cuts(text, limit, overlap)
     for i, end in enumerate(ends):
         start = 0 if i == 0 else max(0, ends[i - 1] - overlap)
@@ -112,7 +119,7 @@ def split(
     hashes_col: str = "commit_hashes",
     oversized_only: bool = False,
 ) -> DataFrame:
-    """(id, piece, n_pieces, start, stop, content, commit_hashes) in code points of the content."""
+    """(id, item, piece, n_pieces, start, stop, content, commit_hashes) in code points of the content; ``item`` is a hash of the whole content."""
     if not 0 <= overlap_tokens < max_tokens:
         raise ValueError("the overlap must be smaller than the limit")
     limit, overlap = max_tokens * CHARS_PER_TOKEN, overlap_tokens * CHARS_PER_TOKEN
@@ -120,20 +127,29 @@ def split(
         F.col(id_col).alias("id"), F.col(text_col).alias("content"), F.coalesce(F.col(hashes_col), F.array().cast("array<string>")).alias("commit_hashes")
     )
     large = F.coalesce(F.length("content") > limit, F.lit(False))
-    schema = "id string, piece int, n_pieces int, start long, stop long, content string, commit_hashes array<string>"
+    schema = "id string, item long, piece int, n_pieces int, start long, stop long, content string, commit_hashes array<string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            held, chars = [], 0
             for r in batch.itertuples(index=False):
-                yield pd.DataFrame([{"id": r.id, **p} for p in pieces(r.content, list(r.commit_hashes), limit, overlap)])
-
-    once = rows.where(large).groupBy("id", "content").agg(F.max("commit_hashes").alias("commit_hashes"))
+                held += [{"id": r.id, "item": r.item, **p} for p in pieces(r.content, list(r.commit_hashes), limit, overlap)]
+                chars += len(r.content)
+                if chars > FRAME_CHARS:
+                    yield pd.DataFrame(held)
+                    held, chars = [], 0
+            if held:
+                yield pd.DataFrame(held)
+
+    union = F.array_sort(F.array_distinct(F.flatten(F.collect_set("commit_hashes")))).alias("commit_hashes")
+    item = F.xxhash64("content").alias("item")
+    once = rows.where(large).groupBy("id", "content").agg(union).select("id", item, "content", "commit_hashes")
     out = once.mapInPandas(run, schema)
     if oversized_only:
         return out
-    whole = rows.where(~large).groupBy("id", "content").agg(F.max("commit_hashes").alias("commit_hashes"))
+    whole = rows.where(~large).groupBy("id", "content").agg(union)
     return out.unionByName(
         whole.select(
-            "id", F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), F.lit(0).cast("long").alias("start"), F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("stop"), "content", "commit_hashes"
+            "id", item, F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), F.lit(0).cast("long").alias("start"), F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("stop"), "content", "commit_hashes"
         )
     )

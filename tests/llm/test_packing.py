@@ -77,3 +77,41 @@ def test_target_weights_empty_table_and_exact_fits(spark):
     want = spark.createDataFrame([("a", 3.0)], "source string, weight double")
     rows = pack(spark, [(k, 10, "a" if k % 2 else "b") for k in range(100)], capacity=20, target=want)
     assert len(rows) == 100
+
+
+def test_the_target_mixture_is_kept_in_every_window(spark, monkeypatch):
+    monkeypatch.setattr(P, "_SPAN", 2)
+    items = [(k, 50 + k % 7 * 10, "big" if k % 10 else None) for k in range(9000)]
+    df = spark.createDataFrame(items, "doc_id long, n_tokens long, source string")
+    want = spark.createDataFrame([("big", 1.0), (None, 1.0)], "source string, weight double")
+    packed = P.pack(df, capacity=500, window=8, block_items=1200, target=want).cache()
+    rows = P.mixture(packed, want).collect()
+    last = {}
+    for r in rows:
+        last[(r.block, r.source)] = max(last.get((r.block, r.source), 0), r.win)
+    assert {r.source for r in rows} == {"big", None} and len({r.block for r in rows}) > 5
+    # While both sources last, what a source got differs from what it was owed by less than a window's overdraft and what earlier blocks left.
+    both = [r for r in rows if r.win < min(last[(r.block, "big")], last[(r.block, None)])]
+    first = min(r.block for r in both)
+    assert all(abs(r.got - r.wanted) <= 2 * 110 for r in both if r.block == first)
+    # The rare source is drawn far beyond its tenth of the tokens.
+    got = [sum(r.got for r in both if r.block == first and r.source == s and r.win == max(x.win for x in both if x.block == first)) for s in ("big", None)]
+    assert abs(got[0] - got[1]) <= 4 * 110
+
+
+def test_equal_rows_are_spread_over_blocks(spark):
+    items = [(7, 100, "a")] * 3000 + [(k, 100, "b") for k in range(100, 600)]
+    rows = pack(spark, items, capacity=1000, block_items=300)
+    check(rows, items, 1000)
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.container >> 32] += 1
+    assert max(sizes.values()) <= 2 * 300 and len(sizes) >= 10
+
+
+def test_sums_before_equal_plain_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(P, "_SPAN", 3)
+    data = [(b, s, (b * 7 + len(s or "")) % 11) for b in range(20) for s in ("x", None, "yy") if (b + len(s or "")) % 4]
+    df = spark.createDataFrame(data, "block long, source string, tokens long")
+    got = {(r.block, r.source): r.before for r in P._sums_before(df, ["source"], "tokens", "before").collect()}
+    assert got == {(b, s): sum(t for c, z, t in data if z == s and c < b) for b, s, _ in data}

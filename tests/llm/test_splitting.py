@@ -79,3 +79,11 @@ def test_rows(spark):
     assert S.split(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         S.split(df, 10, 10)
+
+
+def test_text_before_the_first_header_has_its_hashes():
+    text = "lead " * 20 + "\n[aaaaaaa] 2024-01-01 Ann\n" + "x y " * 40
+    full = ["aaaaaaa" + "1" * 33, "ccccccc" + "2" * 33]
+    assert [p["commit_hashes"] for p in S.pieces(text, full, 120, 10)][0] == [full[1]]
+    assert S.pieces(text, full[:1], 120, 10)[0]["commit_hashes"] == [full[0]]
+    assert S.pieces(text, [], 120, 10)[0]["commit_hashes"] == ["aaaaaaa"]
