@@ -32,7 +32,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -256,15 +256,18 @@ def similar_tokens(tokens: DataFrame, similarity: float = 0.43, recall: float =
     # Few bytes become many rows here, so the tokens are spread by number, by an expression that no earlier
     # shuffle has, or Spark would leave the shuffle out. The band is part of the key.
     spread = tokens.repartition(tokens.sparkSession.sparkContext.defaultParallelism * 2, F.xxhash64("token"))
-    keyed = cut(spread.mapInPandas(sketch, "key long, token string").repartition("key"))
-    # One token more than fits in a bucket makes a further part of it; parts are compared crosswise.
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int"))
+    keyed = spread.mapInPandas(sketch, "key long, token string")
+    # Most keys are of one token; what is left is small. One token more than fits in a bucket makes a further
+    # part of it; parts are compared crosswise.
+    hits = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    hits = cut(hits.select("key", "token", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("token"), F.col("parts")).cast("int").alias("part")
-    parts = keyed.join(sizes, "key").select("key", "parts", part, "token").groupBy("key", "parts", "part").agg(F.collect_list("token").alias("l"))
-    none = F.lit(None).cast("array<string>")
-    inner = parts.select("l", none.alias("r"))
-    big = parts.where("parts > 1")
-    cross = big.alias("x").join(big.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part"))).select(F.col("x.l").alias("l"), F.col("y.l").alias("r"))
+    lists = lambda df: df.groupBy("key", "parts", part).agg(F.collect_list("token").alias("l"))
+    both = lists(hits).select("l", F.lit(None).cast("array<string>").alias("r"))
+    if not hits.where("parts > 1").isEmpty():
+        big = lists(hits.where("parts > 1"))
+        cross = big.alias("x").join(big.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")))
+        both = both.unionByName(cross.select(F.col("x.l").alias("l"), F.col("y.l").alias("r")))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -279,7 +282,7 @@ def similar_tokens(tokens: DataFrame, similarity: float = 0.43, recall: float =
             if seen:
                 yield pd.DataFrame(list(seen), columns=["a", "b"])
 
-    return inner.unionByName(cross).mapInPandas(compare, "a string, b string").distinct()
+    return both.mapInPandas(compare, "a string, b string").distinct()
 
 
 # ---- views that resemble each other ----
@@ -420,14 +423,18 @@ def _common_links(keyed: DataFrame, counts: DataFrame, similar: DataFrame) -> Da
 
     found = placed.repartition(keyed.sparkSession.sparkContext.defaultParallelism * 2, "bag").mapInPandas(keys, "key long, asks boolean, short boolean, bag long, tokens string, fused boolean, at int, side int")
     # A key matters where two bags have it that are to be compared under it.
-    told = cut(found)
-    sizes = told.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") == 0).alias("own"), F.count_if("short").alias("shorts"), F.first("asks").alias("asks"))
-    sizes = sizes.where("n > 1 and own > 0 and (shorts > 0 or not asks)").select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
+    w = Window.partitionBy("key")
+    told = found.withColumns({"n": F.count(F.lit(1)).over(w), "own": F.count_if(F.col("side") == 0).over(w), "shorts": F.count_if("short").over(w)})
+    told = told.where("n > 1 and own > 0 and (shorts > 0 or not asks)").withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int"))
+    told = cut(told.withColumn("part", F.pmod(F.xxhash64("bag"), F.col("parts")).cast("int")))
     item = F.struct("bag", "tokens", "fused", "at", "side", "short")
-    parts = told.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("bag"), F.col("parts")).cast("int")).groupBy("key", "asks", "parts", "part").agg(F.collect_list(item).alias("l"))
-    inner = parts.select("asks", "l", F.lit(None).cast(parts.schema["l"].dataType).alias("r"))
-    big = parts.where("parts > 1")
-    cross = big.alias("x").join(big.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part"))).select("x.asks", F.col("x.l").alias("l"), F.col("y.l").alias("r"))
+    lists = lambda df: df.groupBy("key", "asks", "parts", "part").agg(F.collect_list(item).alias("l"))
+    parts = lists(told)
+    both = parts.select("asks", "l", F.lit(None).cast(parts.schema["l"].dataType).alias("r"))
+    if not told.where("parts > 1").isEmpty():
+        big = lists(told.where("parts > 1"))
+        cross = big.alias("x").join(big.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")))
+        both = both.unionByName(cross.select("x.asks", F.col("x.l").alias("l"), F.col("y.l").alias("r")))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[tuple[int, int], float] = {}
@@ -451,7 +458,7 @@ def _common_links(keyed: DataFrame, counts: DataFrame, similar: DataFrame) -> Da
             if len(seen) > 500_000:
                 seen = set()
 
-    near = cut(inner.unionByName(cross).mapInPandas(compare, "a long, b long, score double").groupBy("a", "b").agg(F.max("score").alias("score")))
+    near = cut(both.mapInPandas(compare, "a long, b long, score double").groupBy("a", "b").agg(F.max("score").alias("score")))
     equal = placed.where((F.col("side") == 0) & ~F.col("fused") & ((F.size("tokens") > 1) | (F.length("anchor") >= TELLING))).select(F.col("bag").alias("a"), F.col("bag").alias("b"), F.when(F.size("tokens") == 1, 0.9).otherwise(1.0).alias("score")).distinct()
     met = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(equal)
     met = met.join(bags.select(F.col("bag").alias("b"), F.col("first.id").alias("other")), "b")
