@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -40,3 +43,18 @@ def jaro_winkler(a: str, b: str) -> float:
 @F.pandas_udf(DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
+
+
+def similar_names(names: DataFrame, queries: DataFrame, least: float = 0.85, block: int = 1000) -> DataFrame:
+    """(query, name) of the names that resemble each of a stated set of queries. Both: name. Queries go round in blocks."""
+    q = queries.select(F.col("name").alias("q")).where("q is not null").distinct()
+    n = max(1, -(-q.count() // block))
+    lists = q.groupBy(F.pmod(F.xxhash64("q"), F.lit(n)).alias("b")).agg(F.collect_list("q").alias("qs")).select("qs")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(x, name) for name, qs in zip(batch["name"], batch["qs"]) for x in qs if x != name and 2 * min(len(x), len(name)) >= max(len(x), len(name)) and jaro_winkler(x, name) >= least]
+            yield pd.DataFrame(out, columns=["query", "name"])
+
+    rows = names.select("name").where("name is not null").distinct().join(lists, F.lit(True))
+    return rows.mapInPandas(compare, "query string, name string")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import instant, js_round
+from .chunking import numbered
 
 OWNING = ["AUTHORED", "MODIFIED"]
 
@@ -140,6 +141,58 @@ def export_edges(nodes: DataFrame, relations: DataFrame, max_edges: int = 2000)
     return e.select(F.col("id").alias("relation_id"), "type", "source_id", "target_id", F.round("weight", 6).alias("weight"), cross.alias("cross_community"))
 
 
+def export_counts(entities: DataFrame, nodes: DataFrame, relations: DataFrame, max_edges: int = 2000) -> DataFrame:
+    """(shown_nodes, total_nodes, shown_edges, total_edges): what the caps of the export leave out; edges are pairs among the shown nodes."""
+    ids = nodes.select("id")
+    kept = relations.where("source_id <> target_id").join(F.broadcast(ids.select(F.col("id").alias("source_id"))), "source_id", "left_semi").join(F.broadcast(ids.select(F.col("id").alias("target_id"))), "target_id", "left_semi")
+    pairs = kept.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct().agg(F.count(F.lit(1)).alias("total_edges"))
+    counts = entities.agg(F.countDistinct("id").alias("total_nodes")).join(nodes.agg(F.count(F.lit(1)).alias("shown_nodes")), F.lit(True)).join(pairs, F.lit(True))
+    return counts.select("shown_nodes", "total_nodes", F.least("total_edges", F.lit(max_edges)).alias("shown_edges"), "total_edges")
+
+
+# Colours that communities take in turn.
+COLOURS = ["#4e79a7", "#f28e2b", "#e15759", "#76b7b2", "#59a14f", "#edc948", "#b07aa1", "#ff9da7", "#9c755f", "#bab0ac"]
+
+
+def community_colours(communities: DataFrame) -> DataFrame:
+    """(id, title, colour) of the communities of level 0, in the order of their ids."""
+    own = communities.where("level = 0").select("id", "title")
+    placed = numbered(own, [F.col("id")])
+    return placed.select("id", "title", F.element_at(F.array(*map(F.lit, COLOURS)), (F.col("pos") % len(COLOURS) + 1).cast("int")).alias("colour"))
+
+
+def by_ids(rows: DataFrame, ids: list[str], key: str = "id") -> DataFrame:
+    """The rows of the ids, each id once however often it is asked for."""
+    wanted = rows.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids) if i is not None], f"{key} string")
+    return rows.join(F.broadcast(wanted), key, "left_semi")
+
+
+def owners_of(junction: DataFrame, owners: DataFrame, owner: str, entity_ids: DataFrame) -> DataFrame:
+    """(entity_id, and the owner's columns) of the units or communities that hold each entity, through the stored junction (``owner``, entity_id)."""
+    pairs = junction.join(entity_ids.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    return pairs.withColumnRenamed(owner, "id").join(owners, "id").select("entity_id", *owners.columns)
+
+
+def token_estimate(units: DataFrame, n_communities: int, per_unit: int = 1100, passes: float = 1.4, per_community: int = 800) -> DataFrame:
+    """(n_units, extraction_tokens, summary_tokens, total_tokens, input_tokens, output_tokens) of building the index once."""
+    t = units.agg(F.count(F.lit(1)).alias("n_units"), F.coalesce(F.sum(F.ceil(F.length(F.coalesce("content", F.lit(""))) / 4)), F.lit(0)).alias("t"))
+    t = t.select("n_units", F.floor((F.col("t") + F.col("n_units") * per_unit) * passes + 0.5).alias("extraction_tokens"), F.lit(n_communities * per_community).cast("long").alias("summary_tokens"))
+    t = t.withColumn("total_tokens", F.col("extraction_tokens") + F.col("summary_tokens"))
+    return t.withColumns({"input_tokens": F.round(F.col("total_tokens") * 0.6, 3), "output_tokens": F.round(F.col("total_tokens") * 0.4, 3)})
+
+
+def actual_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
+    """Adds ``cost`` to (provider, model, input_tokens, output_tokens): the model's rate, else the provider's, else nothing.
+
+    ``rates``: (name, input, output) a million tokens, by name of model or provider; it is the caller's.
+    """
+    r = lambda p: rates.select(F.col("name").alias(f"{p}_name"), F.struct("input", "output").alias(p))
+    out = usage.join(r("m"), F.col("model") == F.col("m_name"), "left").join(r("p"), F.col("provider") == F.col("p_name"), "left")
+    rate = F.coalesce("m", "p", F.struct(F.lit(0.0).alias("input"), F.lit(0.0).alias("output")))
+    cost = (F.col("input_tokens") * rate["input"] + F.col("output_tokens") * rate["output"]) / 1_000_000
+    return out.withColumn("cost", cost).select(*usage.columns, "cost")
+
+
 def type_breakdown(entities: DataFrame, top: int = 5) -> DataFrame:
     counts = entities.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("type").orderBy(F.desc("frequency"), "id")

@@ -122,7 +122,7 @@ def rule_extraction(units: DataFrame) -> DataFrame:
     files = F.regexp_extract_all(c, F.lit(r"(?m)^(?:  |--- )(\S+) \+\d+-\d+\s*$"), F.lit(1))
     techs = F.filter(F.array(*map(F.lit, TECHNOLOGIES)), lambda t: F.contains(F.lower(c), t))
     as_rows = lambda names, kind: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type")))
-    found = F.concat(as_rows(authors, "PERSON"), as_rows(F.transform(files, module_path), "MODULE"), as_rows(techs, "TECHNOLOGY"))
+    found = F.concat(as_rows(authors, "PERSON"), as_rows(F.transform(files, lambda f: module_path(f)), "MODULE"), as_rows(techs, "TECHNOLOGY"))
     return units.select(F.col("id").alias("text_unit_id"), F.explode(F.array_distinct(found)).alias("e")).select("text_unit_id", "e.name", "e.type", F.lit("").alias("description"))
 
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -32,11 +33,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable. Labels take the neighbours' minimum and then jump to their label's label."""
     ends = cut(both_ways(edges.withColumn("weight", F.lit(1.0))).select("src", "dst").distinct())
     labels = cut(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = ends.join(labels.select(F.col("id").alias("src"), "component"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = lower.select(F.col("id").alias("component"), F.col("component").alias("jump"))
@@ -44,8 +45,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         changed = new.where("component <> old").limit(1).count()
         labels = new.select("id", "component")
         if not changed:
-            break
-    return labels
+            return labels
 
 
 def distances(edges: DataFrame, start: str, max_depth: int = 5) -> DataFrame:
@@ -77,6 +77,16 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int = 5) ->
     return path[::-1]
 
 
+def path_edges(relations: DataFrame, path: list[str]) -> DataFrame:
+    """(step, source, target, relation_id, type): the heaviest relation between each node of a path and the next, in either direction; null where there is none."""
+    steps = relations.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(path, path[1:]))], "step int, source string, target string")
+    ends = [relations.select(F.col(a).alias("source"), F.col(b).alias("target"), "id", "type", "weight") for a, b in (("source_id", "target_id"), ("target_id", "source_id"))]
+    # The path has a handful of steps.
+    hits = ends[0].unionByName(ends[1]).join(F.broadcast(steps), ["source", "target"])
+    best = hits.groupBy("step").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id", "type")).alias("e"))
+    return steps.join(best, "step", "left").select("step", "source", "target", F.col("e.id").alias("relation_id"), "e.type")
+
+
 def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row ``modularity`` of a given partition (id, community)."""
     m = membership.select("id", "community")
@@ -190,6 +200,57 @@ def _one_task(resolution: float, levels: int, rounds: int):
     return run
 
 
+def community_levels(
+    entities: DataFrame, edges: DataFrame, resolutions: tuple[float, ...] = (0.5, 1.0, 2.0), min_size: int = 3, link: float = 0.3
+) -> DataFrame:
+    """(id, level, entity_ids, parent_id, child_ids): communities at each resolution, the lowest first, linked to those of the next level.
+
+    Ids depend on level and members only. Without edges all entities are one community if they are enough;
+    fewer than two communities' worth of entities run once, at resolution 1.
+    """
+    ids = entities.select("id").where("id is not null").distinct()
+    n = ids.count()
+    wanted = [1.0] if n < 2 * min_size or edges.isEmpty() else sorted(resolutions)
+    parts = [communities(ids, edges, r, min_size).withColumn("level", F.lit(k)) for k, r in enumerate(wanted)]
+    # A community's members are one list, as in the stored table.
+    found = reduce(DataFrame.unionByName, parts).groupBy("level", "community").agg(F.array_sort(F.collect_set("id")).alias("entity_ids"))
+    level_id = F.concat(F.lit("comm:"), F.col("level"), F.lit(":"), F.substring(F.sha2(F.array_join("entity_ids", "\0"), 256), 1, 10))
+    found = cut(found.select(level_id.alias("id"), "level", "entity_ids"))
+    links = cut(level_links(found, link).select(F.col("child_id").alias("id"), "parent_id"))
+    children = links.groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_set("id")).alias("child_ids"))
+    none = F.array().cast("array<string>")
+    return found.join(links, "id", "left").join(children, "id", "left").select("id", "level", "entity_ids", "parent_id", F.coalesce("child_ids", none).alias("child_ids"))
+
+
+def link_report(communities: DataFrame, least: float = 0.3, split: float = 0.7) -> DataFrame:
+    """(id, level, state, share) of communities whose tie to the next level is weak: 'split' below ``split``, 'orphan' without a parent."""
+    top = communities.agg(F.max("level").alias("top"))
+    below = communities.select("id", "level").join(F.broadcast(top), F.lit(True)).where("level < top").drop("top")
+    links = level_links(communities, least).select(F.col("child_id").alias("id"), "share")
+    state = F.when(F.col("share").isNull(), "orphan").when(F.col("share") < split, "split")
+    return below.join(links, "id", "left").select("id", "level", state.alias("state"), F.round("share", 6).alias("share")).where("state is not null")
+
+
+def hubs(relations: DataFrame, top: int = 3) -> DataFrame:
+    """(id, degree, place) of the entities with most distinct neighbours; ties by id."""
+    pairs = relations.where("source_id <> target_id").select(F.col("source_id").alias("id"), F.col("target_id").alias("other"))
+    both = pairs.unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other")))
+    best = both.groupBy("id").agg(F.countDistinct("other").alias("degree")).orderBy(F.desc("degree"), "id").limit(top)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("degree"), "id")))
+
+
+def reused_summaries(new: DataFrame, old: DataFrame, least: float = 0.7) -> DataFrame:
+    """(id, old_id, title, summary) of the communities that can take over a summary: that of the same id, else of the nearest set above ``least``.
+
+    ``new``: id, level, entity_ids; ``old`` also title and summary. A nearest set without a summary gives none.
+    """
+    said = old.where(F.coalesce(F.trim("summary") != "", F.lit(False))).select(F.col("id").alias("old_id"), "title", "summary")
+    same = new.select("id").join(said.withColumn("id", F.col("old_id")), "id").select("id", "old_id", "title", "summary")
+    rest = new.join(same.select("id"), "id", "left_anti")
+    near = jaccard_matches(rest, old, least).join(said, "old_id").select("id", "old_id", "title", "summary")
+    return same.unionByName(near)
+
+
 def community_id(level: int, ids: F.Column) -> F.Column:
     """Content id of a community: it depends on the members only."""
     return F.concat(F.lit(f"comm:{level}:"), F.substring(F.sha2(F.array_join(F.array_sort(ids), "\0"), 256), 1, 10))

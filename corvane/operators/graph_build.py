@@ -140,7 +140,7 @@ def _said(c: str) -> F.Column:
 
 
 def upsert_entities(rows: DataFrame, seq: str = "loaded_at") -> DataFrame:
-    """Type, name, aliases: last writer; a blank description never wins; dates min and max; frequency adds up."""
+    """Type, name, aliases, metadata: last writer; a blank description and a null embedding never win; dates min and max; frequency adds up."""
     order = F.struct(F.col(seq), F.to_json(F.struct("name", "aliases", "type")))
     text = F.struct(F.coalesce(F.trim("description") != "", F.lit(False)), F.col(seq), "description")
     return rows.where("id is not null").groupBy("id").agg(
@@ -151,6 +151,8 @@ def upsert_entities(rows: DataFrame, seq: str = "loaded_at") -> DataFrame:
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
         F.sum("frequency").alias("frequency"),
+        *([F.max_by("metadata", order).alias("metadata")] if "metadata" in rows.columns else []),
+        *([F.max_by("embedding", F.struct(F.col("embedding").isNotNull(), F.col(seq))).alias("embedding")] if "embedding" in rows.columns else []),
     )
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.similarity import jaro_winkler_udf
+from ..functions.similarity import similar_names
 from ..operators import chunking, extraction, graph_algorithms as G, resolution
 from ..session import cut, table
+from .build import module_sql
 from .questions import W, communities, entities, relations
 
 START = "module:src/api"
@@ -22,14 +23,14 @@ def graph_projection(s, d):
 
 
 def graph_components(s, d):
-    e = relations(s, d).where("type in ('DECIDED', 'SUPERSEDES')")
+    e = relations(s, d)
     ends = e.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
     return G.components(ends, e.where("source_id <> target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
 
 
 def hop_counts(s, d):
-    """Steps from one module along the sparse relation types."""
-    e = relations(s, d).where("type in ('USES', 'DECIDED', 'EXHIBITS', 'SUPERSEDES')").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    """Steps from one module along all relations."""
+    e = relations(s, d).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     return G.distances(cut(e), START).select("id", "hops", "parent")
 
 
@@ -39,8 +40,37 @@ def type_modularity(s, d):
     return G.modularity(_edges(s, d), m).select(F.round("modularity", 6).alias("modularity"))
 
 
+def path_steps(s, d):
+    """A shortest path from one module to the last entity by id that is two steps away or more, with the relation of each step."""
+    r = relations(s, d)
+    e = cut(r.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
+    last = G.distances(e, START).where("hops >= 2").agg(F.max("id")).first()[0]
+    return G.path_edges(r, G.shortest_path(e, START, last) if last else [])
+
+
 def detected_communities(s, d):
-    return G.communities(entities(s, d).select("id"), _edges(s, d))
+    """Communities at three resolutions, linked."""
+    return G.community_levels(entities(s, d), cut(_edges(s, d))).select("id", "level", F.size("entity_ids").alias("members"), "parent_id", F.size("child_ids").alias("children"))
+
+
+def community_modularity(s, d):
+    """Whether the communities found at resolution 1 beat the partition by entity type, and lie within the components."""
+    edges = cut(_edges(s, d))
+    found = cut(G.communities(entities(s, d).select("id"), edges, min_size=1))
+    ours = G.modularity(edges, found).first()[0]
+    types = G.modularity(edges, entities(s, d).select("id", F.col("type").alias("community"))).first()[0]
+    parts = G.components(entities(s, d).select("id"), edges)
+    torn = found.join(parts, "id").groupBy("community").agg(F.countDistinct("component").alias("n")).where("n > 1").count()
+    placed = found.select("id").distinct().count()
+    return s.createDataFrame([(bool(ours >= types), torn, placed)], "beats_types boolean, n_torn long, n_placed long")
+
+
+def hub_labels(s, d):
+    return G.hubs(relations(s, d))
+
+
+def link_states(s, d):
+    return G.link_report(communities(s, d))
 
 
 def level_links(s, d):
@@ -48,7 +78,13 @@ def level_links(s, d):
 
 
 def summary_reuse(s, d):
-    """Communities without a summary that can take over the one of a community with nearly the same members."""
+    """Communities that take over a stored summary: their own, or that of one with nearly the same members."""
+    c = communities(s, d)
+    return G.reused_summaries(c.select("id", "level", "entity_ids"), c).select("id", "old_id", "title")
+
+
+def summary_candidates(s, d):
+    """Communities without a summary, and the one with most of the same members that has one."""
     c = communities(s, d)
     blank = F.coalesce(F.trim("summary") == "", F.lit(True))
     return G.jaccard_matches(c.where(blank), c.where(~blank), 0.3).select("id", "old_id", F.round("jaccard", 6).alias("jaccard"))
@@ -77,17 +113,13 @@ def unit_tokens(s, d):
 
 
 def similar_part_names(s, d):
-    """Pairs of part names that resemble each other."""
-    p = table(s, d, "part").select("p_name").where("p_name is not null").distinct()
-    a, b = p.select(F.col("p_name").alias("a")), p.select(F.col("p_name").alias("b"))
-    near = F.least(F.length("a"), F.length("b")) * 2 >= F.greatest(F.length("a"), F.length("b"))
-    pairs = a.withColumn("word", F.explode(F.array_distinct(F.split("a", " ")))).join(b.withColumn("word", F.explode(F.array_distinct(F.split("b", " ")))), "word")
-    pairs = pairs.where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    return pairs.where(jaro_winkler_udf("a", "b") >= 0.85)
+    """Part names that resemble the name of a part whose key is divisible by 20."""
+    p = table(s, d, "part").select("p_partkey", F.col("p_name").alias("name"))
+    return similar_names(p, p.where("p_partkey % 20 = 0"))
 
 
 def resolved_entities(s, d):
-    e = table(s, d, "entities").where("type in ('TECHNOLOGY', 'PATTERN', 'DECISION', 'MODULE')").select("name", "type", "description")
+    e = table(s, d, "entities").select("name", "type", "description")
     return resolution.resolve(e).select("id", "type", "name", F.array_join("aliases", "|").alias("aliases"))
 
 
@@ -127,7 +159,8 @@ def rule_extraction(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_projection, graph_components, hop_counts, type_modularity, detected_communities, level_links, summary_reuse, commit_windows, commit_units,
+        graph_projection, graph_components, hop_counts, path_steps, type_modularity, detected_communities, community_modularity, hub_labels, link_states,
+        level_links, summary_reuse, summary_candidates, commit_windows, commit_units,
         unit_tokens, similar_part_names, resolved_entities, parsed_answers, relation_dedupe, mistyped_relations, second_passes, rule_extraction,
     )
 }
@@ -138,9 +171,9 @@ _PROJ = W + """, pr as (select least(source_id, target_id) a, greatest(source_id
 _OK = " or ".join(f"(type = '{k}' and (source_type <> '{a}' or target_type <> '{b}'))" for k, (a, b) in resolution.ALLOWED.items())
 ORACLE = {
     "graph_projection": _PROJ + "select a, b, round(weight, 6) weight from pr",
-    "graph_components": W + """, k as (select source_id s, target_id t from r where type in ('DECIDED', 'SUPERSEDES')), b as (select s x, t y from k union select t, s from k)
+    "graph_components": W + """, k as (select source_id s, target_id t from r), b as (select s x, t y from k union select t, s from k)
  select * from (with recursive w2(id, c) as (select x, x from b union select b.y, w2.c from w2 join b on b.x = w2.id) select id, min(c) component from w2 group by id)""",
-    "hop_counts": W + f""", k as (select source_id s, target_id t from r where type in ('USES', 'DECIDED', 'EXHIBITS', 'SUPERSEDES')), b as (select s x, t y from k union select t, s from k),
+    "hop_counts": W + f""", k as (select source_id s, target_id t from r), b as (select s x, t y from k union select t, s from k),
  h as (select id, min(h) hops from (with recursive w2(id, h) as (select '{START}', 0 union select b.y, w2.h + 1 from w2 join b on b.x = w2.id where w2.h < 5) select * from w2) group by id)
  select h.id, h.hops, case when h.hops > 0 then min(p.id) end parent from h left join b on b.y = h.id left join h p on p.id = b.x and p.hops = h.hops - 1 group by 1, 2""",
     "type_modularity": _PROJ + """, k as (select a x, b y, weight w from pr union all select b, a, weight from pr), t as (select sum(w) m2 from k),
@@ -148,15 +181,28 @@ ORACLE = {
     "level_links": W + """, m as (select distinct id, level, unnest(entity_ids) x from cm), z as (select id, count(*) n from m group by 1),
  o as (select a.id child_id, b.id parent_id, count(*) overlap from m a join m b on b.level = a.level + 1 and a.x = b.x group by all),
  k as (select *, row_number() over (partition by child_id order by overlap desc, parent_id) rn from o) select child_id, parent_id, overlap, round(overlap / n, 6) share from k join z on z.id = child_id where rn = 1 and overlap / n > 0.3""",
-    "summary_reuse": W + """, m as (select distinct id, level, coalesce(trim(summary), '') = '' blank, unnest(entity_ids) x from cm), z as (select id, count(*) n from m group by 1),
+    "summary_reuse": W + "select id, id old_id, title from cm where coalesce(trim(summary), '') <> ''",
+    "hub_labels": W + """, k as (select source_id a, target_id b from r where source_id <> target_id), b as (select a, b from k union select b, a from k), z as (select a id, count(*) degree from b group by 1)
+ select id, degree, place from (select *, row_number() over (order by degree desc, id) place from z) where place <= 3""",
+    "link_states": W + """, m as (select distinct id, level, unnest(entity_ids) x from cm), z as (select id, count(*) n from m group by 1),
+ o as (select a.id, b.id p, count(*) o from m a join m b on b.level = a.level + 1 and a.x = b.x group by all), k as (select o.id, max(o) / any_value(z.n) share from o join z on z.id = o.id group by 1),
+ l as (select id, share from k where share > 0.3)
+ select c.id, level, case when share is null then 'orphan' else 'split' end state, round(share, 6) share from cm c left join l using (id) where level < (select max(level) from cm) and (share is null or share < 0.7)""",
+    "community_modularity": W + "select true beats_types, 0 n_torn, count(distinct id) n_placed from e",
+    "summary_candidates": W + """, m as (select distinct id, level, coalesce(trim(summary), '') = '' blank, unnest(entity_ids) x from cm), z as (select id, count(*) n from m group by 1),
  o as (select a.id, b.id old_id, count(*) o from m a join m b on a.level = b.level and a.x = b.x and a.blank and not b.blank group by all),
  j as (select o.id, old_id, o / (za.n + zb.n - o) j from o join z za on za.id = o.id join z zb on zb.id = old_id), k as (select *, row_number() over (partition by id order by j desc, old_id) rn from j where j > 0.3)
  select id, old_id, round(j, 6) jaccard from k where rn = 1""",
     "commit_windows": "with c as (select hash, min(date) date from commits where hash is not null group by 1), n as (select *, (row_number() over (order by date, hash) - 1) // 7 unit from c) select unit, count(*) n, min(date) date_start, max(date) date_end from n group by 1",
     "unit_tokens": "with u as (select id, max(content) content from text_units group by 1) select count(*) n_units, sum(ceil(length(coalesce(content, '')) / 4))::bigint text_tokens, floor((sum(ceil(length(coalesce(content, '')) / 4)) + count(*) * 1100) * 1.4 + 0.5)::bigint extraction_tokens from u",
-    "similar_part_names": "with p as (select distinct p_name from part) select a.p_name a, b.p_name b from p a, p b where a.p_name < b.p_name and jaro_winkler_similarity(a.p_name, b.p_name) >= 0.85 and len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) > 0",
+    "similar_part_names": "with p as (select distinct p_name from part), q as (select distinct p_name from part where p_partkey % 20 = 0) select q.p_name query, p.p_name as name from q, p where p.p_name <> q.p_name and 2 * least(length(p.p_name), length(q.p_name)) >= greatest(length(p.p_name), length(q.p_name)) and jaro_winkler_similarity(q.p_name, p.p_name) >= 0.85",
     "parsed_answers": "select distinct id text_unit_id, trim(name) as name, type, trim(coalesce(description, '')) description from entities where trim(name) <> ''",
     "relation_dedupe": W + ", x as (select r.id, r.type, r.source_id, r.target_id, r.weight, z.d from r join (select id, arg_max(coalesce(description, ''), loaded_at) d from relations group by 1) z on z.id = r.id) select type, source_id as source, target_id as target, max(weight) weight, arg_min(d, id) description from x group by 1, 2, 3",
     "mistyped_relations": W + f", x as (select r.type, a.type source_type, b.type target_type from r join e a on a.id = source_id join e b on b.id = target_id) select type, source_type, target_type, count(*) n, count(*) filter ({_OK}) n_mistyped from x group by 1, 2, 3",
+    "rule_extraction": rf"""with u as (select distinct id, coalesce(content, '') c0 from text_units), v as (select id, c0, regexp_replace(c0, '\r\n|[\r\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g') c from u),
+ x as (select id, c0, 'PERSON' as type, unnest(regexp_extract_all(c, '(?m)^\[[0-9a-f]{{7}}\] \S+ (.+?)\s*$', 1)) as name from v
+  union all select id, c0, 'MODULE', {module_sql('p')} from (select id, c0, unnest(regexp_extract_all(c, '(?m)^(?:  |--- )(\S+) \+\d+-\d+\s*$', 1)) p from v)
+  union all select id, c0, 'TECHNOLOGY', t from v, (select unnest({extraction.TECHNOLOGIES}) t) where contains(lower(c0), t))
+ select type, count(*) n_mentions, count(distinct name) n_names from (select distinct * from x) group by 1""",
     "second_passes": "select distinct id from text_units where len(commit_hashes) >= 8 and len(entity_ids) / len(commit_hashes) < 0.5",
 }

@@ -60,20 +60,25 @@ def edge_density(s: SparkSession, d: str) -> DataFrame:
 
 
 def upsert_entities(s: SparkSession, d: str) -> DataFrame:
-    return G.upsert_entities(table(s, d, "entities")).withColumn("aliases", F.array_join("aliases", "|"))
+    x = G.upsert_entities(table(s, d, "entities")).withColumn("aliases", F.array_join("aliases", "|"))
+    pairs = F.transform(F.array_sort(F.map_keys("metadata")), lambda k: F.concat(k, F.lit("="), F.coalesce(F.element_at("metadata", k), F.lit(""))))
+    return x.withColumns({"metadata": F.coalesce(F.array_join(pairs, "|"), F.lit("")), "embedding": F.array_join(F.transform("embedding", lambda v: F.round(v.cast("double") * 1e4).cast("long").cast("string")), "|")})
 
 
 def upsert_relations(s: SparkSession, d: str) -> DataFrame:
     x = G.upsert_relations(table(s, d, "relations"))
-    return x.select("id", "type", "source_id", "target_id", F.round("weight", 6).alias("weight"), "description", "first_seen", "last_seen")
+    return x.select("id", "type", "source_id", "target_id", F.round("weight", 6).alias("weight"), "description", F.coalesce(F.array_join("evidence", "|"), F.lit("")).alias("evidence"), "first_seen", "last_seen")
 
 
 def insert_commits(s: SparkSession, d: str) -> DataFrame:
-    """Insert-or-ignore of the commits that arrive from 2025 on into those that came before."""
-    c = table(s, d, "commits").select("hash", instant("indexed_at").alias("at"))
-    early = F.coalesce(F.col("at") < F.lit("2025-01-01").cast("timestamp"), F.lit(True))
-    stored = c.where(early).select("hash").distinct()
-    return G.insert_or_ignore(stored, c.where(~early).select("hash"), "hash").groupBy().agg(F.count(F.lit(1)).alias("n_commits"), F.countDistinct("hash").alias("n_hashes"))
+    """Whole rows: insert-or-ignore of the newest rows of 2025 and later into the newest of those that came before."""
+    cols = ["author_name", "author_email", "date", "message", "parent_hashes", "text_unit_id", "indexed_at", "files_changed"]
+    c = table(s, d, "commits").withColumn("_at", instant("indexed_at"))
+    early = F.coalesce(F.col("_at") < F.lit("2025-01-01").cast("timestamp"), F.lit(True))
+    order = F.struct(F.coalesce("_at", F.timestamp_micros(F.lit(0))), F.coalesce("indexed_at", F.lit("")), F.coalesce("message", F.lit("")))
+    stored, late = G.newest(c.where(early), "hash", order, cols), G.newest(c.where(~early), "hash", order, cols)
+    x = G.insert_or_ignore(stored, late, "hash")
+    return x.select("hash", "author_name", "author_email", "date", "message", "text_unit_id", F.size("parent_hashes").alias("n_parents"), F.size("files_changed").alias("n_files"))
 
 
 def text_unit_entities(s: SparkSession, d: str) -> DataFrame:
@@ -135,11 +140,14 @@ ORACLE = {
     "entity_mentions": "select entity_id, count(distinct id) frequency, min(date_start) first_seen, max(date_end) last_seen from (select id, date_start, date_end, unnest(entity_ids) entity_id from text_units) where entity_id is not null group by 1",
     "edge_density": "select v n_entities, e n_relations, round(e::double / (v * (v - 1)), 9) density from (select count(distinct id) v from entities), (select count(distinct id) e from relations)",
     "upsert_entities": """select id, arg_max(type, k) as type, arg_max(name, k) as name, arg_max(array_to_string(aliases, '|'), k) aliases, arg_max(description, d) description,
-   min(first_seen) first_seen, max(last_seen) last_seen, sum(frequency)::bigint frequency
-  from (select *, strftime(loaded_at, '%Y%m%d%H%M%S%f') k, (case when trim(coalesce(description, '')) <> '' then '1' else '0' end) || strftime(loaded_at, '%Y%m%d%H%M%S%f') || coalesce(description, '') d from entities) group by id""",
+   min(first_seen) first_seen, max(last_seen) last_seen, sum(frequency)::bigint frequency, coalesce(arg_max(meta, k), '') metadata, arg_max(vec, k) filter (vec is not null) embedding
+  from (select *, strftime(loaded_at, '%Y%m%d%H%M%S%f') k, (case when trim(coalesce(description, '')) <> '' then '1' else '0' end) || strftime(loaded_at, '%Y%m%d%H%M%S%f') || coalesce(description, '') d,
+   array_to_string(list_transform(list_sort(map_keys(metadata)), lambda x: x || '=' || coalesce(metadata[x], '')), '|') meta, array_to_string(list_transform(embedding, lambda v: round(v::double * 1e4)::bigint::varchar), '|') vec from entities) group by id""",
     "upsert_relations": """select id, arg_min(type, loaded_at) as type, arg_min(source_id, loaded_at) source_id, arg_min(target_id, loaded_at) target_id, round(sum(weight), 6) weight,
-   arg_max(description, loaded_at) description, coalesce(min(nullif(first_seen, '')), '') first_seen, coalesce(max(nullif(last_seen, '')), '') last_seen from relations where id is not null group by id""",
-    "insert_commits": "select count(distinct hash) n_commits, count(distinct hash) n_hashes from commits",
+   arg_max(description, loaded_at) description, coalesce(array_to_string(list_filter(arg_max(coalesce(evidence, []), loaded_at), lambda x: x is not null), '|'), '') evidence, coalesce(min(nullif(first_seen, '')), '') first_seen, coalesce(max(nullif(last_seen, '')), '') last_seen from relations where id is not null group by id""",
+    "insert_commits": f"""with c as (select *, {AT_SQL} tm, coalesce({AT_SQL} < epoch_us(timestamptz '2025-01-01 00:00:00+00'), true) early from commits where hash is not null),
+ k as (select *, row_number() over (partition by hash order by early desc, greatest(tm, 0) desc, coalesce(indexed_at, '') desc, coalesce(message, '') desc) rn from c)
+ select hash, author_name, author_email, date, message, text_unit_id, len(parent_hashes) n_parents, len(files_changed) n_files from k where rn = 1""",
     "text_unit_entities": "select distinct id text_unit_id, e entity_id from (select id, unnest(entity_ids) e from text_units) where e in (select id from entities)",
     "community_entities": "select distinct id community_id, e entity_id from (select id, unnest(entity_ids) e from communities) where e in (select id from entities)",
 }

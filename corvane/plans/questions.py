@@ -114,11 +114,46 @@ def store_stats(s, d):
 
 
 def embedding_delta(s, d):
-    """Entities whose description differs between their first and their last load."""
+    """Entities to embed anew: the text of their last load against the hashes of what was there before 2025-06."""
     rows = table(s, d, "entities").where("id is not null").select("id", F.coalesce("description", F.lit("")).alias("text"), "loaded_at")
-    first = rows.groupBy("id").agg(F.min_by("text", "loaded_at").alias("text")).select("id", F.substring(F.sha2("text", 256), 1, 16).alias("text_hash"))
-    last = rows.groupBy("id").agg(F.max_by("text", "loaded_at").alias("text"))
-    return A.embedding_delta(last, first.where(F.xxhash64("id") % 3 != 0))
+    newest_text = F.max_by("text", F.struct("loaded_at", "text")).alias("text")
+    before = rows.where(F.col("loaded_at") < F.lit("2025-06-01").cast("timestamp")).groupBy("id").agg(newest_text)
+    stored = before.select("id", F.substring(F.sha2("text", 256), 1, 16).alias("text_hash"))
+    return A.embedding_delta(rows.groupBy("id").agg(newest_text), stored)
+
+
+def export_counts(s, d):
+    return A.export_counts(entities(s, d), export_nodes(s, d), relations(s, d))
+
+
+def community_colours(s, d):
+    return A.community_colours(communities(s, d))
+
+
+def units_of_decisions(s, d):
+    """Units that hold each decision."""
+    u = units(s, d).select("id", F.size("commit_hashes").alias("n_commits"))
+    pairs = units(s, d).select(F.col("id").alias("text_unit_id"), F.explode("entity_ids").alias("entity_id")).distinct()
+    return A.owners_of(pairs, u, "text_unit_id", entities(s, d).where("type = 'DECISION'"))
+
+
+def communities_of_modules(s, d):
+    """Communities that hold each module."""
+    c = communities(s, d).select("id", "level")
+    pairs = communities(s, d).select(F.col("id").alias("community_id"), F.explode("entity_ids").alias("entity_id")).distinct()
+    return A.owners_of(pairs, c, "community_id", entities(s, d).where("type = 'MODULE'"))
+
+
+def token_estimate(s, d):
+    u = table(s, d, "text_units").groupBy("id").agg(F.max("content").alias("content"))
+    return A.token_estimate(u, 100)
+
+
+def run_costs(s, d):
+    """Costs of three runs by rates that are given."""
+    rates = s.createDataFrame([("m1", 2.0, 4.0), ("p1", 1.0, 1.0)], "name string, input double, output double")
+    usage = table(s, d, "index_runs").select("run_id", F.lit("p1").alias("provider"), F.when(F.col("run_id") % 2 == 0, "m1").otherwise("m9").alias("model"), (F.col("run_id") * 1000).alias("input_tokens"), (F.col("run_id") * 10).alias("output_tokens"))
+    return A.actual_cost(usage, rates).select("run_id", F.round("cost", 9).alias("cost"))
 
 
 QUERIES = {
@@ -126,6 +161,7 @@ QUERIES = {
     for f in (
         experts, expert_bars, coupling, silos, risk_report, entity_cards, relations_of_technologies, degrees, export_nodes, export_edges,
         type_breakdown, graph_summary, community_members, entity_commits, decision_trace, summary_inputs, store_stats,
+        embedding_delta, export_counts, community_colours, units_of_decisions, communities_of_modules, token_estimate, run_costs,
     )
 }
 
@@ -203,5 +239,15 @@ ORACLE = {
     "summary_inputs": W + """, m as (select distinct id community_id, unnest(entity_ids) member from cm), z as (select community_id, count(*) members from m group by 1),
  x as (select source_id member, id from r union select target_id, id from r), i as (select community_id, count(distinct id) relations from m join x using (member) group by 1)
  select z.community_id, members, coalesce(relations, 0) relations from z left join i on i.community_id = z.community_id""",
+    "embedding_delta": """with x as (select id, coalesce(description, '') t, loaded_at from entities where id is not null), n as (select id, max({loaded_at: loaded_at, t: t}).t t from x group by 1),
+ b as (select id, max({loaded_at: loaded_at, t: t}).t t from x where loaded_at < timestamp '2025-06-01' group by 1), h as (select n.id, substr(sha256(n.t), 1, 16) text_hash, substr(sha256(b.t), 1, 16) old from n left join b on b.id = n.id)
+ select id, text_hash, case when old is null then 'new' else 'changed' end state from h where old is null or old <> text_hash""",
+    "export_counts": _EXPORT + """, p as (select count(*) t from (select distinct least(source_id, target_id) a, greatest(source_id, target_id) b from r where source_id <> target_id and source_id in (select id from n) and target_id in (select id from n)))
+ select (select count(*) from n) shown_nodes, (select count(*) from e) total_nodes, least(t, 2000) shown_edges, t total_edges from p""",
+    "community_colours": W + f"select id, title, {A.COLOURS}[(row_number() over (order by id) - 1) % {len(A.COLOURS)} + 1] colour from cm where level = 0",
+    "units_of_decisions": W + "select distinct x entity_id, id, n_commits from (select id, unnest(entity_ids) x, coalesce(len(commit_hashes), -1) n_commits from u) where x in (select id from e where type = 'DECISION')",
+    "communities_of_modules": W + "select distinct x entity_id, id, level from (select id, level, unnest(entity_ids) x from cm) where x in (select id from e where type = 'MODULE')",
+    "token_estimate": "with u as (select id, max(content) content from text_units group by 1), x as (select count(*) n_units, floor((sum(ceil(length(coalesce(content, '')) / 4)) + count(*) * 1100) * 1.4 + 0.5)::bigint extraction_tokens from u) select n_units, extraction_tokens, 80000::bigint summary_tokens, extraction_tokens + 80000 total_tokens, round((extraction_tokens + 80000) * 0.6::double, 3) input_tokens, round((extraction_tokens + 80000) * 0.4::double, 3) output_tokens from x",
+    "run_costs": "select run_id, round(case when run_id % 2 = 0 then run_id * 1000 * 2.0::double + run_id * 10 * 4.0::double else run_id * 1000 * 1.0::double + run_id * 10 * 1.0::double end / 1000000, 9) cost from index_runs",
     "store_stats": " union all ".join(f"select '{t}' table_name, count(*) n_rows, count(distinct {k}) n_keys from {t}" for t, k in (("entities", "id"), ("relations", "id"), ("text_units", "id"), ("communities", "id"), ("commits", "hash"))),
 }
