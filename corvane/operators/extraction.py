@@ -76,6 +76,19 @@ def deduped_relations(relations: DataFrame, order: str = "seq") -> DataFrame:
     return relations.groupBy("type", "source", "target").agg(F.max("weight").alias("weight"), F.min_by("description", order).alias("description"))
 
 
+def merged_passes(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of two passes of answers: what both name counts once, with the first pass's words unless they are blank."""
+    passes = [a.select("text_unit_id", "answer", F.lit(k).alias("pass")) for k, a in enumerate((first, second))]
+    found = [extracted_entities(p).withColumn("pass", F.lit(k)) for k, p in enumerate(passes)]
+    order = F.struct((F.col("description") == "").alias("blank"), "pass", "description")
+    entities = found[0].unionByName(found[1]).groupBy("text_unit_id", "type", F.lower("name").alias("_k")).agg(F.min_by("name", F.struct("pass", "name")).alias("name"), F.min_by("description", order).alias("description"))
+    entities = entities.select("text_unit_id", "name", "type", "description")
+    rows = [extracted_relations(p).withColumn("seq", F.col("seq") + k * 1_000_000) for k, p in enumerate(passes)]
+    relations = typed_relations(rows[0].unionByName(rows[1]), entities)
+    once = relations.groupBy("text_unit_id", "type", "source", "target").agg(F.max("weight").alias("weight"), F.min_by("description", "seq").alias("description"), F.min("seq").alias("seq"))
+    return entities, once.select("text_unit_id", "source", "target", "type", "description", "weight", "seq")
+
+
 def wants_second_pass(commits: Column, entities: Column, min_commits: int = 8, min_share: float = 0.5) -> Column:
     """Whether a unit of many commits gave so few entities that it is read again."""
     return F.coalesce((commits >= min_commits) & (entities / commits < min_share), F.lit(False))
