@@ -63,6 +63,8 @@ def build(
 
     if full:
         store.clear()
+    if "indexed_at" not in commits.columns:
+        commits = commits.withColumn("indexed_at", F.lit(None).cast("string"))
     newest = G.newest(commits, "hash", F.struct(F.coalesce("date", F.lit("")), F.to_json(F.struct("message", "author_name"))), [c for c in commits.columns if c != "hash"])
     fresh = cut(newest.join(store.table("commits").select("hash"), "hash", "left_anti"))
     n_commits = fresh.count()

@@ -44,6 +44,20 @@ def git(path: str, *args: str) -> str:
     return subprocess.run(["git", "-C", path, *args], capture_output=True, check=True).stdout.decode("utf-8", "replace")
 
 
+def records(args: list[str], size: int = 1 << 20) -> Iterator[str]:
+    """The records of a log as git writes it: one record is held at a time, however long the log."""
+    with subprocess.Popen(args, stdout=subprocess.PIPE, stderr=subprocess.PIPE) as run:
+        rest, mark = b"", RECORD.encode()
+        while block := run.stdout.read(size):
+            *whole, rest = (rest + block).split(mark)
+            yield from (r.decode("utf-8", "replace") for r in whole if r.strip())
+        if rest.strip():
+            yield rest.decode("utf-8", "replace")
+        error = run.stderr.read()
+    if run.returncode:
+        raise subprocess.CalledProcessError(run.returncode, args, stderr=error)
+
+
 def has_commits(path: str) -> bool:
     return subprocess.run(["git", "-C", path, "rev-parse", "--verify", "-q", "HEAD"], capture_output=True).returncode == 0
 
@@ -71,8 +85,8 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Pass | None) -> Iterator[tuple]:
         if partition is None:  # how Spark reads a source without partitions
             return
-        out = git(self.options["path"], "-c", "core.quotepath=off", *log_args(self.options), HEADER, *PASSES[partition.kind])
-        for seq, record in enumerate(r for r in out.split(RECORD) if r.strip()):
+        args = ["git", "-C", self.options["path"], "-c", "core.quotepath=off", *log_args(self.options), HEADER, *PASSES[partition.kind]]
+        for seq, record in enumerate(records(args)):
             yield partition.kind, seq, record
 
 
