@@ -2,7 +2,8 @@
 
 Method: the distinct non-null foreign keys, pre-aggregated per key, are left-anti-joined
 against the parent keys that were there in time; the few keys that remain are joined back to
-the references. A hot key is one row on the anti-join, whatever share of the rows points at it.
+the references. A hot key is one row on the anti-join, whatever share of the rows points at it, and is
+split by a salt where it is joined back.
 
 Defined results
     null or blank reference: no reference. Null arrays: no reference.
@@ -24,6 +25,10 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_key
 
 
+#: Parts of the references to one key.
+SALTS = 16
+
+
 def _tagged(keys: Column, name: str, target: str) -> Column:
     keys = F.coalesce(F.array_distinct(keys), F.array().cast("array<string>"))
     return F.transform(keys, lambda k: F.struct(F.lit(name).alias("field_name"), F.lit(target).alias("target"), norm_key(k).alias("ref_key")))
@@ -136,8 +141,11 @@ class ReferenceCheck:
         open_keys = open_keys.join(live.withColumn("live", F.lit(True)), ["target", "ref_key"], "left").select(
             "target", "ref_key", "live", "first_loaded"
         )
+        # A key may hold a third of all references: they meet its copies under a salt.
+        salted = open_keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        refs = refs.withColumn("salt", F.pmod(F.xxhash64("record_id", "field_name"), F.lit(SALTS)).cast("int"))
         return (
-            refs.join(open_keys, ["target", "ref_key"])
+            refs.join(salted, ["target", "ref_key", "salt"])
             .where(F.col("live").isNull() | self._late(F.col("first_loaded"), F.col("loaded_at")))
             .groupBy("table_name", "field_name", "record_id", "ref_key")
             .agg(
