@@ -8,6 +8,7 @@ form for repeated use. Vector search takes a stated set of queries against all r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ from ..functions.query_text import terms, words
 from ..functions.text import instant
 
 K1, B = 1.2, 0.75
+#: Bytes of query vectors that are broadcast; beyond, blocks of both sides are shuffled.
+BROADCAST_BYTES = 32_000_000
 ENTITY_WEIGHTS = {"name": 10.0, "aliases": 5.0, "description": 1.0}
 # Fixed values of the ranking.
 TEXT_ONLY = {"fts": 0.5, "recency": 0.3, "degree": 0.2}
@@ -28,12 +31,39 @@ DECAY = {1: 0.5, 2: 0.25}
 
 
 def postings(docs: DataFrame, id_col: str, columns: dict[str, float]) -> DataFrame:
-    """(token, id, f): weighted occurrences of each token; store it partitioned or bucketed by token."""
+    """(token, id, f, n): weighted and plain occurrences of each token; store it partitioned or bucketed by token."""
     parts = None
     for c, w in columns.items():
         p = docs.select(F.col(id_col).alias("id"), F.explode(words(F.coalesce(F.col(c), F.lit("")))).alias("token"), F.lit(w).alias("w"))
         parts = p if parts is None else parts.unionByName(p)
-    return parts.groupBy("token", "id").agg(F.sum("w").alias("f"))
+    return parts.groupBy("token", "id").agg(F.sum("w").alias("f"), F.count(F.lit(1)).alias("n"))
+
+
+def document_lengths(docs: DataFrame, id_col: str, stored: DataFrame) -> DataFrame:
+    """(id, dl) of every document, stored beside its postings; those without a word have length 0."""
+    n = stored.groupBy("id").agg(F.sum("n").alias("dl"))
+    return docs.select(F.col(id_col).alias("id")).distinct().join(n, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
+
+
+def bm25_of_postings(stored: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
+    """(id, score) as ``bm25`` gives it, from stored postings: only the rows of the query's tokens are read."""
+    found = terms(query)
+    if not found:
+        return lengths.select("id", F.lit(0.0).alias("score")).limit(0)
+    same = [F.col("token").startswith(t) if p else F.col("token") == t for t, p in found]
+    hits = stored.where(reduce(lambda a, b: a | b, same))
+    f = [F.coalesce(F.sum(F.when(s, F.col("f"))), F.lit(0.0)).alias(f"f{k}") for k, s in enumerate(same)]
+    per = hits.groupBy("id").agg(*f)
+    df = per.agg(*[F.count_if(F.col(f"f{k}") > 0).alias(f"d{k}") for k in range(len(found))])
+    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    rows = per.join(lengths, "id").join(F.broadcast(df), F.lit(True)).join(F.broadcast(size), F.lit(True))
+    return rows.select("id", sum((_bm25_term(k) for k in range(len(found))), F.lit(0.0)).alias("score"))
+
+
+def _bm25_term(k: int) -> Column:
+    f, df = F.col(f"f{k}"), F.col(f"d{k}")
+    idf = F.greatest(F.ln((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+    return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
 def bm25(docs: DataFrame, id_col: str, columns: dict[str, float], query: str) -> DataFrame:
@@ -54,10 +84,8 @@ def bm25(docs: DataFrame, id_col: str, columns: dict[str, float], query: str) ->
     any_hit = F.lit(False)
     score = F.lit(0.0)
     for k in range(len(found)):
-        f, df = F.col(f"f{k}"), F.col(f"d{k}")
-        idf = F.greatest(F.ln((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        any_hit = any_hit | (f > 0)
+        score = score + _bm25_term(k)
+        any_hit = any_hit | (F.col(f"f{k}") > 0)
     return base.where(any_hit).join(F.broadcast(stats), F.lit(True)).select("id", score.alias("score"))
 
 
@@ -119,8 +147,14 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, top:
                     keep = np.isfinite(sim)
                     yield pd.DataFrame({"query_id": np.repeat(qids, keep.sum(axis=1)), "id": ids[best][keep], "similarity": sim[keep]})
 
-    pairs = blocked(queries, "q").join(blocked(rows, "r"), F.lit(True))
-    found = pairs.select("q", "r").repartition(spark.sparkContext.defaultParallelism).mapInPandas(products, f"query_id {kind}, id {kind}, similarity double")
+    q, r = blocked(queries, "q"), blocked(rows, "r")
+    size = queries.agg(F.coalesce(F.sum(F.size(vec_col)), F.lit(0)), F.count(F.lit(1))).first()
+    if 4 * size[0] + 40 * size[1] <= BROADCAST_BYTES:
+        # The blocks of rows stay where they are.
+        pairs = r.join(F.broadcast(q), F.lit(True))
+    else:
+        pairs = q.join(r, F.lit(True)).repartition(spark.sparkContext.defaultParallelism)
+    found = pairs.select("q", "r").mapInPandas(products, f"query_id {kind}, id {kind}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
 

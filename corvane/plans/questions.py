@@ -60,7 +60,7 @@ def risk_report(s, d):
 
 def entity_cards(s, d):
     e = entities(s, d)
-    return A.cards(e, relations(s, d), e.where("type = 'MODULE'").select("id"))
+    return A.cards(e, relations(s, d), e.select("id"))
 
 
 def relations_of_technologies(s, d):
@@ -219,7 +219,7 @@ ORACLE = {
  select c.other module_id, e.name, round(w, 6) weight, round(w / (select sum(frequency) from m), 6) co_change_ratio, coalesce(sh.n, 0) shared_authors from c join e on e.id = c.other left join sh on sh.t = c.other""",
     "silos": _SILOS + "select * from x",
     "risk_report": _SILOS + "select count(*) filter (active_experts = 0) orphans, count(*) filter (active_experts = 1) silos from x",
-    "entity_cards": W + _ENDS + """, k as (select *, row_number() over (partition by entity_id order by weight desc, id, direction) place, count(*) over (partition by entity_id) n from b where entity_id in (select id from e where type = 'MODULE'))
+    "entity_cards": W + _ENDS + """, k as (select *, row_number() over (partition by entity_id order by weight desc, id, direction) place, count(*) over (partition by entity_id) n from b where entity_id in (select id from e))
  select entity_id, place, direction, k.type, k.id relation_id, other_id, coalesce(e.name, other_id) other_name, round(weight, 6) weight, greatest(n - 50, 0) hidden from k left join e on e.id = k.other_id where place <= 50""",
     "relations_of_technologies": W + _ENDS + "select entity_id, other_id, direction, id, type from b where entity_id in (select id from e where type = 'TECHNOLOGY')",
     "degrees": W + _ENDS + "select entity_id, count(*) degree from b group by 1",

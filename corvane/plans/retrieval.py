@@ -14,6 +14,10 @@ from .questions import AS_OF, DAYS, GRAPH, W, communities, entities, relations
 QUESTION = "who maintains the decoder tooling and the cached snapshots of the platform"
 
 
+#: The vector that stands for the question.
+VECTOR = [1.0, 0.5, -0.5, 0.25, -1.0, 0.75, 0.1, -0.2]
+
+
 def _ranked(df: DataFrame) -> DataFrame:
     return df.select("id", F.round("score", 6).alias("score"))
 
@@ -31,9 +35,19 @@ def search_communities(s, d):
     return _ranked(S.bm25(communities(s, d), "id", {"title": 1.0, "summary": 1.0}, QUESTION))
 
 
-def document_postings(s, d):
-    p = S.postings(table(s, d, "communities").select("id", "title", "summary"), "id", {"title": 1.0, "summary": 1.0})
-    return p.groupBy("token").agg(F.count(F.lit(1)).alias("documents"), F.sum("f").alias("occurrences"))
+def _community_postings(s, d):
+    return S.postings(communities(s, d), "id", {"title": 1.0, "summary": 1.0})
+
+
+def community_postings(s, d):
+    """Documents and occurrences of each token in the communities' titles and summaries."""
+    return _community_postings(s, d).groupBy("token").agg(F.count(F.lit(1)).alias("documents"), F.sum("f").alias("occurrences"))
+
+
+def search_postings(s, d):
+    """The ranking of ``search_communities`` from postings and lengths as they are stored."""
+    p = _community_postings(s, d)
+    return _ranked(S.bm25_of_postings(p, S.document_lengths(communities(s, d), "id", p), QUESTION))
 
 
 def vector_neighbours(s, d):
@@ -44,8 +58,7 @@ def vector_neighbours(s, d):
 
 def entity_similarity(s, d):
     """Cosine of every entity's embedding to one fixed vector."""
-    q = [1.0, 0.5, -0.5, 0.25, -1.0, 0.75, 0.1, -0.2]
-    return S.rank_by_vector(entities(s, d), "id", "embedding", q).select("id", F.round("similarity", 6).alias("similarity"))
+    return S.rank_by_vector(entities(s, d), "id", "embedding", VECTOR).select("id", F.round("similarity", 6).alias("similarity"))
 
 
 def entity_scores(s, d):
@@ -69,6 +82,15 @@ def global_search(s, d):
     return S.global_search(c, QUESTION).select("place", "id", F.round("score", 6).alias("score"))
 
 
+def global_hybrid(s, d):
+    """Communities by text and meaning; a community's vector is the mean of its members'."""
+    e = entities(s, d).where(F.size("embedding") == 8).select(F.col("id").alias("eid"), "embedding")
+    c = communities(s, d)
+    pairs = c.select("id", F.explode("entity_ids").alias("eid")).distinct().join(e, "eid")
+    mean = pairs.groupBy("id").agg(F.array(*[F.round(F.avg(F.get("embedding", F.lit(k)).cast("double")), 4).cast("float") for k in range(8)]).alias("embedding"))
+    return S.global_search(c.join(mean, "id", "left"), QUESTION, vector=VECTOR).select("place", "id", F.round("score", 5).alias("score"))
+
+
 def question_kind(s, d):
     return table(s, d, "documents").select("doc_id", query_text.classify_column(F.coalesce("text", F.lit(""))).alias("kind"))
 
@@ -87,8 +109,8 @@ def label_matches(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        search_entities, search_text_units, search_communities, document_postings, vector_neighbours, entity_similarity, entity_scores,
-        local_search, global_search, question_kind, author_entities, label_matches,
+        search_entities, search_text_units, search_communities, community_postings, search_postings, vector_neighbours, entity_similarity, entity_scores,
+        local_search, global_search, global_hybrid, question_kind, author_entities, label_matches,
     )
 }
 
@@ -121,7 +143,7 @@ ORACLE = {
     "search_entities": _ENT + " select id, round(score, 6) score from q",
     "search_text_units": _bm25_sql("(select id, max(content) content from text_units group by id)", {"content": 1.0}, "with") + " select id, round(score, 6) score from q",
     "search_communities": W + _bm25_sql("cm", {"title": 1.0, "summary": 1.0}, ",") + " select id, round(score, 6) score from q",
-    "document_postings": "with w as (select id, unnest(" + _LIST.format("title") + " || " + _LIST.format("summary") + ") token from communities), p as (select token, id, count(*)::double f from w group by all) select token, count(*) documents, sum(f) occurrences from p group by 1",
+    "community_postings": W + ", w as (select id, unnest(" + _LIST.format("title") + " || " + _LIST.format("summary") + ") token from cm), p as (select token, id, count(*)::double f from w group by all) select token, count(*) documents, sum(f) occurrences from p group by 1",
     "vector_neighbours": """with p as (select q.vec_id query_id, r.vec_id id, round(list_cosine_similarity(q.embedding::double[], r.embedding::double[]), 6) + 0.0 s from embeddings q join embeddings r on q.vec_id % 20 = 0 and q.vec_id <> r.vec_id),
  k as (select *, row_number() over (partition by query_id order by s desc, id) place from p) select query_id, id, s similarity, place from k where place <= 3""",
     "entity_similarity": W + "select id, round(case when len(embedding) = 8 then coalesce(list_cosine_similarity(embedding::double[], [1.0, 0.5, -0.5, 0.25, -1.0, 0.75, 0.1, -0.2]::double[]), 0) else 0 end, 6) similarity from e where embedding is not null",
@@ -129,6 +151,12 @@ ORACLE = {
  z as (select q.id, q.score fts, e.last_seen, coalesce(g.degree, 0) degree from q join e on e.id = q.id left join g on g.id = q.id),
  y as (select *, greatest(max(abs(fts)) over (), 1) mf, greatest(max(degree) over (), 1) md from z)
  select id, round(0.5 * greatest(0, least(1, fts / mf)) + 0.3 * coalesce(exp(-greatest(0, {DAYS('last_seen')}) / 260), 0) + 0.2 * (case when md > 1 then ln(1 + degree) / ln(1 + md) when degree > 0 then 1 else 0 end), 5) score from y""",
+    "search_postings": W + _bm25_sql("cm", {"title": 1.0, "summary": 1.0}, ",") + " select id, round(score, 6) score from q",
+    "global_hybrid": W + _bm25_sql("cm", {"title": 1.0, "summary": 1.0}, ",") + """, mv as (select distinct c.id, e.id eid, e.embedding v from (select id, unnest(entity_ids) eid from cm) c join e on e.id = c.eid where len(e.embedding) = 8),
+ cv as (select id, [""" + ", ".join(f"round(avg(v[{k + 1}]::double), 4)" for k in range(8)) + f"""] v from mv group by 1), sim as (select id, round(coalesce(list_cosine_similarity(v, {VECTOR}::double[]), 0), 9) s from cv),
+ tk as (select id, row_number() over (order by score desc, id) k from q), tb as (select id, k from tk where k <= 25), tn as (select greatest(max(k), 1) n from tb), tx as (select id, 1 - (k - 1) / n t from tb, tn),
+ al as (select coalesce(sim.id, tx.id) id, 0.6 * greatest(coalesce(s, 0), 0) + 0.4 * coalesce(t, 0) score from sim full join tx on tx.id = sim.id), k as (select id, score, row_number() over (order by score desc, id) place from al)
+ select place, id, round(score, 5) score from k where place <= 5""",
     "global_search": W + _bm25_sql("cm", {"title": 1.0, "summary": 1.0}, ",") + ", k as (select id, score, row_number() over (order by score desc, id) place from q) select place, id, round(score, 6) score from k where place <= 5",
     "question_kind": "select doc_id, case " + " ".join(f"when {_rx(p)} then '{k}'" for k, ps in (("local", query_text.LOCAL_PATTERNS), ("global", query_text.GLOBAL_PATTERNS)) for p in ps) + " else 'local' end kind from documents",
     "label_matches": W + "select type, count(*) n, arg_max(name, lpad(frequency::varchar, 20, '0') || id) largest from e where contains(lower(name), 'ar') group by 1",
