@@ -97,6 +97,13 @@ def commit_windows(s, d):
     return w.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("date_start"), F.max("date").alias("date_end"))
 
 
+def commit_unit_starts(s, d):
+    """Where units of about seven commits begin: near there, at a change of author or day."""
+    c = table(s, d, "commits").where("hash is not null").groupBy("hash").agg(F.min("date").alias("date"), F.min("author_name").alias("author_name"))
+    log = cut(chunking.numbered(c, [F.col("date"), F.col("hash")]))
+    return log.join(chunking.unit_starts(log, 7), "pos").select("pos", "hash")
+
+
 def commit_units(s, d):
     """Units that end where author or day change, of the rendered commits."""
     c = table(s, d, "commits").where("hash is not null")
@@ -160,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_projection, graph_components, hop_counts, path_steps, type_modularity, detected_communities, community_modularity, hub_labels, link_states,
-        level_links, summary_reuse, summary_candidates, commit_windows, commit_units,
+        level_links, summary_reuse, summary_candidates, commit_windows, commit_unit_starts, commit_units,
         unit_tokens, similar_part_names, resolved_entities, parsed_answers, relation_dedupe, mistyped_relations, second_passes, rule_extraction,
     )
 }
@@ -194,6 +201,13 @@ ORACLE = {
  j as (select o.id, old_id, o / (za.n + zb.n - o) j from o join z za on za.id = o.id join z zb on zb.id = old_id), k as (select *, row_number() over (partition by id order by j desc, old_id) rn from j where j > 0.3)
  select id, old_id, round(j, 6) jaccard from k where rn = 1""",
     "commit_windows": "with c as (select hash, min(date) date from commits where hash is not null group by 1), n as (select *, (row_number() over (order by date, hash) - 1) // 7 unit from c) select unit, count(*) n, min(date) date_start, max(date) date_end from n group by 1",
+    "commit_unit_starts": """with recursive c as (select hash, min(date) date, min(author_name) a from commits where hash is not null group by 1),
+ n as materialized (select hash, a, split_part(date, 'T', 1) d, row_number() over (order by date, hash) - 1 pos, count(*) over () n from c),
+ s as (select pos, n, case when pos = 0 then 0 else (a is distinct from lag(a) over (order by pos))::int + (d is distinct from lag(d) over (order by pos))::int end score from n),
+ k as (select x.pos start, y.pos p, y.score, abs(y.pos - x.pos - 7) off from s x join s y on y.pos between x.pos + 5 and x.pos + 9 where x.pos + 7 < x.n),
+ nx as materialized (select start, case when score > 0 then p else start + 7 end nxt from (select *, row_number() over (partition by start order by score desc, off, p) rn from k) where rn = 1),
+ u(pos) as (select 0::bigint union all select nxt from u join nx on nx.start = u.pos)
+ select u.pos, hash from u join n using (pos)""",
     "unit_tokens": "with u as (select id, max(content) content from text_units group by 1) select count(*) n_units, sum(ceil(length(coalesce(content, '')) / 4))::bigint text_tokens, floor((sum(ceil(length(coalesce(content, '')) / 4)) + count(*) * 1100) * 1.4 + 0.5)::bigint extraction_tokens from u",
     "similar_part_names": "with p as (select distinct p_name from part), q as (select distinct p_name from part where p_partkey % 20 = 0) select q.p_name query, p.p_name as name from q, p where p.p_name <> q.p_name and 2 * least(length(p.p_name), length(q.p_name)) >= greatest(length(p.p_name), length(q.p_name)) and jaro_winkler_similarity(q.p_name, p.p_name) >= 0.85",
     "parsed_answers": "select distinct id text_unit_id, trim(name) as name, type, trim(coalesce(description, '')) description from entities where trim(name) <> ''",
