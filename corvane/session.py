@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -51,12 +53,14 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_corvane_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="corvane-"), "corvane.zip")
+    folder = tempfile.mkdtemp(prefix="corvane-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "corvane.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(here):
+        for place, _, names in os.walk(here):
             for n in names:
                 if n.endswith(".py"):
-                    full = os.path.join(folder, n)
+                    full = os.path.join(place, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(here)))
     sc.addPyFile(path)
     sc._corvane_shipped = True
