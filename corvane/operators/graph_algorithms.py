@@ -6,18 +6,18 @@ Each round cuts its lineage through the shared checkpoint folder; what is collec
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Graphs of up to so many edge ends run the rounds of ``communities`` in one task (about 200 bytes each in Python).
-SMALL_GRAPH = 200_000
+#: Graphs of up to so many edge ends run the rounds of ``communities`` in one task (about 80 bytes each at most, in arrays).
+SMALL_GRAPH = 8_000_000
 
 
 def projection(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -35,6 +35,9 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable. Labels take the neighbours' minimum and then jump to their label's label."""
+    rows = cut(edges.select("a", "b").unionByName(nodes.select(F.col("id").alias("a"), F.lit(None).cast("string").alias("b"))))
+    if 2 * rows.count() <= SMALL_GRAPH:
+        return rows.withColumn("weight", F.lit(1.0)).coalesce(1).mapInArrow(_one_forest, "id string, component string")
     ends = cut(both_ways(edges.withColumn("weight", F.lit(1.0))).select("src", "dst").distinct())
     labels = cut(nodes.select("id", F.col("id").alias("component")))
     while True:
@@ -48,6 +51,30 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _one_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rounds of ``components`` on arrays: edges (a, b), and a row (a, null) for each node -> (id, component)."""
+    names, a, b, _ = _read(batches)
+    node = np.zeros(len(names), bool)
+    node[a[b < 0]] = True
+    inside = (a >= 0) & (b >= 0) & (a != b)
+    a, b = a[inside], b[inside]
+    inside = node[a] & node[b]
+    a, b = a[inside], b[inside]
+    label, old = np.arange(len(names)), None
+    while old is None or (label != old).any():
+        old = label.copy()
+        # The roots of both ends, so that whole trees are joined.
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label != label[label]).any():
+            label = label[label]
+    ids = np.flatnonzero(node)
+    for k in range(0, len(ids), 10_000):
+        own = ids[k : k + 10_000]
+        yield pa.RecordBatch.from_pydict({"id": [names[v] for v in own], "component": [names[v] for v in label[own]]})
+
+
 def distances(edges: DataFrame, start: str, max_depth: int = 5) -> DataFrame:
     """(id, hops, parent): breadth first from ``start``; of several parents the smallest id."""
     spark = edges.sparkSession
@@ -90,8 +117,10 @@ def path_edges(relations: DataFrame, path: list[str]) -> DataFrame:
 def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row ``modularity`` of a given partition (id, community)."""
     m = membership.select("id", "community")
-    ends = both_ways(edges).join(m.select(F.col("id").alias("src"), F.col("community").alias("cs")), "src").join(m.select(F.col("id").alias("dst"), F.col("community").alias("cd")), "dst")
-    per = ends.groupBy("cs").agg(F.sum("weight").alias("tot"), F.sum(F.when(F.col("cs") == F.col("cd"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    ends = edges.join(m.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(m.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
+    inside = F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0).alias("inside")
+    ends = ends.select(F.explode(F.array(*[F.struct(F.col(c).alias("c"), "weight", inside) for c in ("ca", "cb")])).alias("e")).select("e.*")
+    per = ends.groupBy("c").agg(F.sum("weight").alias("tot"), F.sum("inside").alias("inside"))
     total = per.agg(F.sum("tot").alias("m2"))
     return per.join(F.broadcast(total), F.lit(True)).agg(F.sum(F.col("inside") / F.col("m2") - resolution * (F.col("tot") / F.col("m2")) ** 2).alias("modularity"))
 
@@ -103,16 +132,30 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, min
     swap for ever; ties go to the smallest community. Communities are named by their smallest member,
     so the result doesn't depend on the order of the input. Communities below ``min_size`` are left out.
     """
+    return communities_at(nodes, edges, [resolution], min_size, levels, rounds).drop("level")
+
+
+def communities_at(nodes: DataFrame, edges: DataFrame, resolutions: list[float], min_size: int = 3, levels: int = 4, rounds: int = 8) -> DataFrame:
+    """(id, community, level): ``communities`` at each of the resolutions, numbered from 0."""
+    n_edges, weight = edges.agg(F.count(F.lit(1)), F.sum("weight")).head()
+    if 0 < 2 * n_edges <= SMALL_GRAPH and weight:
+        ends = edges.select("a", "b", F.col("weight").cast("double").alias("weight")).coalesce(1)
+        names = ends.mapInArrow(_one_task(resolutions, levels, rounds), "id string, name string, level int")
+        member = nodes.select("id", F.explode(F.array(*map(F.lit, range(len(resolutions))))).alias("level"))
+        member = cut(member.join(names, ["id", "level"], "left").select("id", "level", F.coalesce("name", "id").alias("community")))
+        named = member.groupBy("level", "community").agg(F.min("id").alias("name"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
+        return member.join(named, ["level", "community"]).select("id", F.col("name").alias("community"), "level")
+    return reduce(DataFrame.unionByName, [_by_joins(nodes, edges, r, min_size, levels, rounds).withColumn("level", F.lit(k)) for k, r in enumerate(resolutions)])
+
+
+def _by_joins(nodes: DataFrame, edges: DataFrame, resolution: float, min_size: int, levels: int, rounds: int) -> DataFrame:
+    """``communities`` of a graph of any size, as rounds of joins."""
     member = cut(nodes.select("id", F.col("id").alias("community")))
     graph = cut(both_ways(edges))
     m2 = graph.agg(F.sum("weight")).head()[0] or 0.0
     if not m2:
         whole = member.agg(F.min("id").alias("community"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
         return member.select("id").join(whole.select("community"), F.lit(True))
-    if graph.count() <= SMALL_GRAPH:
-        names = graph.coalesce(1).mapInPandas(_one_task(resolution, levels, rounds), "id string, name string")
-        member = cut(member.join(names, "id", "left").select("id", F.coalesce("name", "community").alias("community")))
-        levels = 0
     for level in range(levels):
         k = graph.groupBy("src").agg(F.sum("weight").alias("k"))
         state = cut(k.select(F.col("src").alias("id"), F.col("src").alias("c"), "k"))
@@ -150,56 +193,91 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, min
     return member.join(named, "community").select("id", F.col("name").alias("community"))
 
 
-def _one_task(resolution: float, levels: int, rounds: int):
-    """The rounds of ``communities`` over all edge ends of a small graph: (src, dst, weight) -> (id, name)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-        for b in batches:
-            for s, d, w in zip(b["src"], b["dst"], b["weight"]):
-                graph[s][d] += w
-        m2 = sum(sum(x.values()) for x in graph.values())
-        member = {v: v for v in graph}
-        for level in range(levels):
-            k = {v: sum(x.values()) for v, x in graph.items()}
-            c, tot, any_move = {v: v for v in graph}, dict(k), False
-            for r in range(rounds):
-                moves = {}
-                for v, near in graph.items():
-                    if zlib.crc32(f"{v}:{r // 2 + 100 * level}".encode()) % 2 != r % 2:
-                        continue
-                    mine = c[v]
-                    w = defaultdict(float, {mine: 0.0})
-                    for u, x in near.items():
-                        if u != v:
-                            w[c[u]] += x
-                    gain = {q: round(x - resolution * k[v] * (tot[q] - (k[v] if q == mine else 0.0)) / m2, 9) for q, x in w.items()}
-                    best = max(gain.values())
-                    if best > gain[mine]:
-                        moves[v] = min(q for q, g in gain.items() if g == best)
-                for v, q in moves.items():
-                    tot[c[v]] -= k[v]
-                    tot[q] += k[v]
-                    c[v] = q
-                any_move |= bool(moves)
-                if not moves and r % 2:
-                    break
-            if not any_move:
-                break
-            name: dict[str, str] = {}
-            for v, q in c.items():
-                name[q] = min(name.get(q, v), v)
-            member = {v: name[c[x]] if x in c else x for v, x in member.items()}
-            merged: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-            for s, near in graph.items():
-                for d, x in near.items():
-                    merged[name[c[s]]][name[c[d]]] += x
-            graph = merged
-        yield pd.DataFrame(list(member.items()), columns=["id", "name"])
+def _read(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of edges (a, b, weight) in order, and the edges by the places of their ids; -1 for null."""
+    code: dict[str, int] = {}
+    none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    parts = [none]
+    for b in batches:
+        ends = [np.fromiter((-1 if x is None else code.setdefault(x, len(code)) for x in b.column(c).to_pylist()), np.int64, b.num_rows) for c in ("a", "b")]
+        parts.append((*ends, b.column("weight").to_numpy(zero_copy_only=False)))
+    names = sorted(code)
+    rank = np.full(len(names) + 1, -1)
+    rank[[code[x] for x in names]] = np.arange(len(names))
+    return names, rank[np.concatenate([x[0] for x in parts])], rank[np.concatenate([x[1] for x in parts])], np.concatenate([x[2] for x in parts])
+
+
+def _one_task(resolutions: list[float], levels: int, rounds: int):
+    """The rounds of ``communities`` over the edges of a small graph, on arrays: (a, b, weight) -> (id, name, level).
+
+    Nodes are numbered in the order of their ids, so the smallest number is the smallest id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, a, b, w = _read(batches)
+        # Sums follow the order of the ids, whatever the order of the rows.
+        ends = _summed(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w]), len(names))
+        del a, b, w
+        for level, r in enumerate(resolutions):
+            member = _moved(names, *ends, r, levels, rounds)
+            for k in range(0, len(names), 10_000):
+                own = member[k : k + 10_000]
+                yield pa.RecordBatch.from_pydict({"id": names[k : k + 10_000], "name": [names[v] for v in own], "level": pa.array([level] * len(own), pa.int32())})
 
     return run
 
 
+def _moved(names: list[str], src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float, levels: int, rounds: int) -> np.ndarray:
+    """The number of the smallest member of each node's community; edge ends in order of (src, dst)."""
+    ids, member, m2 = np.arange(len(names)), np.arange(len(names)), w.sum()
+    for level in range(levels):
+        n = len(ids)
+        k, c, any_move = np.bincount(src, w, n), np.arange(n), False
+        for r in range(rounds):
+            if r % 2 == 0:
+                odd = np.fromiter((zlib.crc32(f"{names[v]}:{r // 2 + 100 * level}".encode()) % 2 for v in ids), np.int64, n)
+            half = odd == r % 2
+            tot, own = np.bincount(c, k, n), np.flatnonzero(half)
+            at = half[src] & (src != dst)
+            # The community that a node is in is always a candidate, also without a neighbour in it.
+            v, q, x = _summed(np.concatenate([src[at], own]), np.concatenate([c[dst[at]], c[own]]), np.concatenate([w[at], np.zeros(len(own))]), n)
+            mine = q == c[v]
+            gain = np.round(x - resolution * k[v] * (tot[q] - np.where(mine, k[v], 0.0)) / m2, 9)
+            first = _starts(v)
+            best = np.maximum.reduceat(gain, first) if len(v) else gain
+            top = np.flatnonzero(gain == np.repeat(best, np.diff(np.append(first, len(v)))))
+            top = top[_starts(v[top])]
+            better = best > gain[mine]
+            c[v[first][better]] = q[top][better]
+            any_move |= bool(better.any())
+            if not better.any() and r % 2:
+                break
+        if not any_move:
+            break
+        name = np.full(n, n)
+        np.minimum.at(name, c, np.arange(n))
+        kept, label = np.unique(name[c], return_inverse=True)
+        member, ids = label[member], ids[kept]
+        src, dst, w = _summed(label[src], label[dst], w, len(ids))
+    return ids[member]
+
+
+def _starts(v: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, v[1:] != v[:-1])[: len(v)])
+
+
+def _summed(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The weights of equal pairs of numbers below ``n``, added up in order of the pairs."""
+    if not len(a):
+        return a, b, w
+    key = a * n + b
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = _starts(key)
+    return key[first] // n, key[first] % n, np.add.reduceat(w[order], first)
+
+
 def community_levels(
     entities: DataFrame, edges: DataFrame, resolutions: tuple[float, ...] = (0.5, 1.0, 2.0), min_size: int = 3, link: float = 0.3
 ) -> DataFrame:
@@ -211,9 +289,8 @@ def community_levels(
     ids = entities.select("id").where("id is not null").distinct()
     n = ids.count()
     wanted = [1.0] if n < 2 * min_size or edges.isEmpty() else sorted(resolutions)
-    parts = [communities(ids, edges, r, min_size).withColumn("level", F.lit(k)) for k, r in enumerate(wanted)]
     # A community's members are one list, as in the stored table.
-    found = reduce(DataFrame.unionByName, parts).groupBy("level", "community").agg(F.array_sort(F.collect_set("id")).alias("entity_ids"))
+    found = communities_at(ids, edges, wanted, min_size).groupBy("level", "community").agg(F.array_sort(F.collect_set("id")).alias("entity_ids"))
     level_id = F.concat(F.lit("comm:"), F.col("level"), F.lit(":"), F.substring(F.sha2(F.array_join("entity_ids", "\0"), 256), 1, 10))
     found = cut(found.select(level_id.alias("id"), "level", "entity_ids"))
     links = cut(level_links(found, link).select(F.col("child_id").alias("id"), "parent_id"))

@@ -40,6 +40,42 @@ def test_guards(spark, n, pairs, want):
     assert [(r.level, len(r.entity_ids), r.parent_id, r.child_ids) for r in found] == [(0, w, None, []) for w in want]
 
 
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    got = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def blocks(spark, n, size=50):
+    """A graph of ``n`` edges in rings of ``size`` nodes with chords, and its nodes."""
+    k = F.col("id")
+    node = lambda c: F.format_string("n%06d", c)
+    base, at = F.floor(k / (2 * size)) * size, k % size
+    other = (at + F.when(k % (2 * size) < size, 1).otherwise(7)) % size
+    e = spark.range(n).select(node(base + F.least(at, other)).alias("a"), node(base + F.greatest(at, other)).alias("b"), F.lit(1.0).alias("weight"))
+    return spark.range(n // 2).select(node(k).alias("id")), e
+
+
+def test_a_graph_of_many_edges_is_moved_and_joined_in_few_jobs(spark):
+    nodes, e = blocks(spark, 120_000)
+    e = e.localCheckpoint()
+    found, n = jobs_of(spark, "moved", lambda: {r.id: r.community for r in G.communities(nodes, e, min_size=1).collect()})
+    parts, m = jobs_of(spark, "parts", lambda: {r.id: r.component for r in G.components(nodes, e).collect()})
+    assert len(found) == len(parts) == 60_000 and n < 20 and m < 10
+    # No community leaves its ring, and no ring is torn or joined.
+    assert all(int(k[1:]) // 50 == int(c[1:]) // 50 for k, c in found.items())
+    assert all(int(c[1:]) == int(k[1:]) // 50 * 50 for k, c in parts.items())
+
+
+def test_components_on_arrays_are_those_of_joins(spark, monkeypatch):
+    e = edges(spark, [("n00", "n03"), ("n03", "n05"), ("n01", "gone"), ("gone", "n02"), ("n04", "n04"), ("n06", "n07"), ("n07", "n08"), ("n06", "n08")])
+    one = {r.id: r.component for r in G.components(ids(spark, 10), e).collect()}
+    monkeypatch.setattr(G, "SMALL_GRAPH", 0)
+    assert {r.id: r.component for r in G.components(ids(spark, 10), e).collect()} == one
+    assert one["n05"] == "n00" and one["n02"] == "n02" and one["n08"] == "n06"
+
+
 def test_link_report_and_reuse(spark):
     rows = [("a", 0, ["x", "y", "z"], "A", "said a"), ("b", 0, ["p", "q", "r", "s"], "B", " "), ("c", 0, ["u"], "C", "said c"), ("top", 1, ["x", "y", "p", "q"], "T", "said t")]
     c = spark.createDataFrame(rows, "id string, level int, entity_ids array<string>, title string, summary string")
