@@ -7,6 +7,10 @@ ordered pass of a type is over its vocabulary, not its rows.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,29 +60,77 @@ ALLOWED = {
 }
 
 
+class _Heads:
+    """The leaders so far, as arrays that tell which of them a name may resemble.
+
+    Jaro-Winkler can't exceed what the letters that two names share, their lengths and their first four letters allow;
+    a letter counts up to four times by one bit each, further ones together.
+    """
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold, self.n = threshold, 0
+        self.bits, self.rest, self.size, self.start = np.zeros((3, 64), np.uint64), np.zeros(64, np.int64), np.zeros(64, np.int64), np.zeros((4, 64), np.int64)
+
+    @staticmethod
+    def _signs(name: str) -> tuple[list[int], int, list[int]]:
+        bits, rest = 0, 0
+        for c, k in Counter(name).items():
+            # 48 slots of four bits; letters that share one only raise the bound.
+            slot = 4 * (ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 22)
+            while k and bits >> slot & 15 != 15:
+                bits, k = bits | (bits >> slot & 15) * 2 + 1 << slot, k - 1
+            rest += k
+        return [bits >> s & (1 << 64) - 1 for s in (0, 64, 128)], rest, [ord(c) for c in name[:4].ljust(4, "\0")]
+
+    def add(self, name: str) -> None:
+        if self.n == len(self.size):
+            self.bits, self.start = np.tile(self.bits, 2), np.tile(self.start, 2)
+            self.rest, self.size = np.tile(self.rest, 2), np.tile(self.size, 2)
+        self.bits[:, self.n], self.rest[self.n], self.start[:, self.n] = self._signs(name)
+        self.size[self.n] = len(name)
+        self.n += 1
+
+    def near(self, name: str, end: int | None, block: int = 8192) -> Iterator[int]:
+        """Places, in order and before ``end``, of the leaders that the name may resemble."""
+        bits, rest, start = self._signs(name)
+        size, end = len(name), self.n if end is None else end
+        for lo in range(0, end if size else 0, block):
+            at = slice(lo, min(end, lo + block))
+            shared = np.minimum(self.rest[at], rest)
+            for k in range(3):
+                shared += np.bitwise_count(self.bits[k, at] & np.uint64(bits[k]))
+            sizes = np.maximum(self.size[at], 1)
+            jaro = np.minimum((shared / sizes + shared / size + 1) / 3, 1.0)
+            same, prefix = np.ones(len(sizes), bool), np.zeros(len(sizes), np.int64)
+            for k in range(4):
+                same &= self.start[k, at] == start[k]
+                prefix += same
+            fits = (jaro + prefix * 0.1 * (1 - jaro) >= self.threshold - 1e-9) & (2 * np.minimum(sizes, size) >= np.maximum(sizes, size)) & (self.size[at] > 0)
+            yield from (np.flatnonzero(fits) + lo).tolist()
+
+
 def leaders(names: list[str], fuzzy: bool, threshold: float) -> list[int]:
     """Index of the leader of each of the sorted distinct names."""
     heads: list[int] = []
     by_form: dict[str, int] = {}
+    known = _Heads(threshold)
     out = []
     for i, n in enumerate(names):
         form = ABBREVIATIONS.get(n, n)
         first = by_form.get(form)
         if fuzzy:
             # The first leader in order wins, so a resembling one before the exact one takes the name.
-            for h in heads:
-                if h == first:
-                    break
-                m = names[h]
-                short, long = sorted((len(n), len(m)))
-                if short and short / long >= 0.5 and jaro_winkler(n, m) >= threshold:
+            for h in known.near(n, first):
+                if jaro_winkler(n, names[heads[h]]) >= threshold:
                     first = h
                     break
         if first is None:
-            first = i
+            first = len(heads)
             heads.append(i)
-            by_form.setdefault(form, i)
-        out.append(first)
+            by_form.setdefault(form, first)
+            if fuzzy:
+                known.add(n)
+        out.append(heads[first])
     return out
 
 

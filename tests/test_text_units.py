@@ -153,3 +153,31 @@ def test_git_log(spark, tmp_path):
     assert [r.message for r in git.commits(read(), 1).collect()] == ["first"]
     assert [r.message for r in git.commits(read(since_commit=rows[0].hash)).collect()] == ["second"]
     assert git.file_tree(repo) == ["lib/a.ts", "yarn.lock"] and git.head(repo) == rows[1].hash
+
+
+def test_leaders_compare_few_pairs_and_are_those_of_all_pairs(monkeypatch):
+    import random
+
+    r, calls, true = random.Random(7), [0], R.jaro_winkler
+
+    def counted(a, b):
+        calls[0] += 1
+        return true(a, b)
+
+    def brute(names, threshold):
+        heads, out = [], []
+        for n in names:
+            form = R.ABBREVIATIONS.get(n, n)
+            fits = (h for h in heads if R.ABBREVIATIONS.get(h, h) == form or n and h and 2 * min(len(n), len(h)) >= max(len(n), len(h)) and true(n, h) >= threshold)
+            out.append(next(fits, n))
+            if out[-1] == n:
+                heads.append(n)
+        return out
+
+    monkeypatch.setattr(R, "jaro_winkler", counted)
+    people = sorted({" ".join("".join(r.choice(a) for a in ("bdfgklmnprstvz", "aeiou") * r.randint(2, 4)) for _ in range(2)) for _ in range(700)})
+    got = [people[k] for k in R.leaders(people, True, 0.85)]
+    assert got == brute(people, 0.85) and 1 < len(people) - len(set(got)) and calls[0] < len(people) ** 2 / 20
+    for threshold in (0.0, 0.6, 0.85):
+        odd = sorted({"".join(r.choice("aab é7ß") for _ in range(r.randint(0, 13))) for _ in range(150)} | {"ts", "typescript", "js", "k8s", "a" * 40, "a" * 25})
+        assert [odd[k] for k in R.leaders(odd, True, threshold)] == brute(odd, threshold)
