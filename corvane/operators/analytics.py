@@ -15,6 +15,9 @@ from .chunking import numbered
 
 OWNING = ["AUTHORED", "MODIFIED"]
 
+#: Where no community has more members, the pairs of members are looked up in all of them.
+PAIRED = 100
+
 
 def days_between(as_of: str, c: Column) -> Column:
     """Days, with fractions, from an ISO date string to ``as_of``; null where it can't be read."""
@@ -242,12 +245,32 @@ def decisions(entities: DataFrame, relations: DataFrame, wanted: DataFrame) -> D
 
 
 def summary_inputs(communities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Members of each community and its relations with either end inside."""
+    """Members of each community and its relations with either end inside.
+
+    A community's relations are the sum over its members, less those with both ends inside, which the sum has twice;
+    only these are joined: by the pairs of its members or by its members' relations, whichever are fewer.
+    """
     m = communities.select(F.col("id").alias("community_id"), F.explode("entity_ids").alias("member")).distinct()
-    size = m.groupBy("community_id").agg(F.count(F.lit(1)).alias("members"))
-    ends = relations.select("id", F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("member"))
-    inside = m.join(ends, "member").groupBy("community_id").agg(F.countDistinct("id").alias("relations"))
-    return size.join(inside, "community_id", "left").select("community_id", "members", F.coalesce("relations", F.lit(0)).alias("relations"))
+    pairs = relations.groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("a is not null and b is not null")
+    ends = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("member"), "n")
+    degree = ends.groupBy("member").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs"))
+    size = m.join(degree, "member", "left").groupBy("community_id").agg(
+        F.count(F.lit(1)).alias("members"), F.coalesce(F.sum("n"), F.lit(0)).alias("ends"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("steps")
+    )
+    known, large = m.where("member is not null"), not communities.where(F.size("entity_ids") > PAIRED).isEmpty()
+    if large:
+        by = size.select("community_id", (F.col("members") * (F.col("members") - 1) / 2 <= F.greatest("steps", F.lit(PAIRED * PAIRED))).alias("by_pairs"))
+        known = known.join(by, "community_id")
+    # A list is as short as PAIRED, or has fewer pairs than its community's relations.
+    few = (known.where("by_pairs") if large else known).groupBy("community_id").agg(F.array_sort(F.collect_list("member")).alias("s"))
+    few = few.select("community_id", "s", F.posexplode("s").alias("at", "a")).select("community_id", "a", F.explode(F.slice("s", F.col("at") + 2, F.size("s"))).alias("b"))
+    few = few.join(pairs, ["a", "b"]).select("community_id", "n")
+    if large:
+        many = known.where("not by_pairs").select("community_id", "member")
+        held = many.select("community_id", F.col("member").alias("a")).join(pairs.where("a <> b"), "a")
+        few = few.unionByName(held.join(many.withColumnRenamed("member", "b"), ["community_id", "b"]).select("community_id", "n"))
+    twice = few.groupBy("community_id").agg(F.sum("n").alias("twice"))
+    return size.join(twice, "community_id", "left").select("community_id", "members", (F.col("ends") - F.coalesce("twice", F.lit(0))).alias("relations"))
 
 
 def embedding_delta(current: DataFrame, stored: DataFrame) -> DataFrame:

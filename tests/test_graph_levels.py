@@ -129,3 +129,23 @@ def test_a_hot_open_key_is_found_whole(spark):
     parents = spark.createDataFrame([("there", None)], "id string, loaded_at timestamp")
     got = ReferenceCheck([Referrer("t", refs, {"k": "p"})], [Parent("p", parents)]).orphans().collect()
     assert len(got) == len([k for k in range(n) if k % 3 == 0]) + 1 and {r.ref_key for r in got} == {"gone"}
+
+
+@pytest.mark.parametrize("paired", [100, 5])
+def test_summary_inputs_move_no_row_for_each_relation_of_each_community(spark, monkeypatch, paired):
+    monkeypatch.setattr(A, "PAIRED", paired)
+    # One hub with 300 relations in 400 communities; large communities with few relations; loops, parallel and foreign ones.
+    rel = [(f"h{k}", "hub", f"n{k % 90}") for k in range(300)] + [("l1", "hub", "hub"), ("l2", "n1", "n1"), ("p1", "n1", "n2"), ("p2", "n2", "n1"), ("p3", "x", "y"), ("p4", "n2", "x")]
+    com = [(f"c{k:03}", ["hub", f"n{k % 90}", f"n{(k + 1) % 90}", None]) for k in range(400)] + [("all", [f"n{k}" for k in range(90)] * 2), ("lone", ["z1"]), ("none", []), ("idle", [f"z{k}" for k in range(50)] + ["x", "y"])]
+    r, c = spark.createDataFrame(rel, "id string, source_id string, target_id string"), spark.createDataFrame(com, "id string, entity_ids array<string>")
+    df = A.summary_inputs(c, r)
+    want = {(i, len(s), sum(a in s or b in s for _, a, b in rel)) for i, e in com if (s := set(e))}
+    assert {tuple(x) for x in df.collect()} == want
+    before = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("inputs", "inputs")
+    df.write.format("noop").mode("overwrite").save()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in before.getJobIdsForGroup("inputs") for s in before.getJobInfo(j).stageIds}
+    written = [store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if before.getStageInfo(s)]
+    assert max(written) < 10_000
