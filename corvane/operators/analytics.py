@@ -15,6 +15,9 @@ from .chunking import numbered
 
 OWNING = ["AUTHORED", "MODIFIED"]
 
+#: Slices in which a decision gets the modules of its makers.
+SLICES = 64
+
 #: Where no community has more members, the pairs of members are looked up in all of them.
 PAIRED = 100
 
@@ -235,12 +238,14 @@ def decisions(entities: DataFrame, relations: DataFrame, wanted: DataFrame) -> D
     newer = relations.where("type = 'SUPERSEDES'").select(F.col("source_id").alias("decision_id"), F.col("target_id").alias("other_id"))
     makers = d.join(made, "decision_id").distinct()
     worked = relations.where(F.col("type").isin(OWNING)).select(F.col("source_id").alias("other_id"), F.col("target_id").alias("module"))
-    modules = makers.join(worked, "other_id").select("decision_id", "first_seen", F.col("module").alias("other_id"))
+    # Modules go in lists, a slice each by hash, so that a decision's makers meet by slices instead of modules.
+    lists = worked.groupBy("other_id", F.pmod(F.xxhash64("module"), F.lit(SLICES)).alias("slice")).agg(F.collect_set("module").alias("s"))
+    modules = makers.join(lists, "other_id").groupBy("decision_id", "first_seen", "slice").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
+    modules = modules.select("decision_id", "first_seen", F.explode("s").alias("other_id"))
     return (
         makers.select("decision_id", "first_seen", F.lit("maker").alias("role"), "other_id")
-        .unionByName(d.join(newer, "decision_id").select("decision_id", "first_seen", F.lit("supersedes").alias("role"), "other_id"))
+        .unionByName(d.join(newer, "decision_id").select("decision_id", "first_seen", F.lit("supersedes").alias("role"), "other_id").distinct())
         .unionByName(modules.select("decision_id", "first_seen", F.lit("module").alias("role"), "other_id"))
-        .distinct()
     )
 
 

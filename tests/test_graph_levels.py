@@ -149,3 +149,19 @@ def test_summary_inputs_move_no_row_for_each_relation_of_each_community(spark, m
     stages = {s for j in before.getJobIdsForGroup("inputs") for s in before.getJobInfo(j).stageIds}
     written = [store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if before.getStageInfo(s)]
     assert max(written) < 10_000
+
+
+def test_decisions_of_many_makers_meet_by_slices(spark):
+    rel = [("DECIDED", f"p{k}", d) for k in range(30) for d in ("d1", "d2", "m1")] + [(t, f"p{k}", f"m{j}") for t in ("AUTHORED", "MODIFIED") for k in range(30) for j in range(200)] + [("SUPERSEDES", "d2", "d1")] * 2
+    e = spark.createDataFrame([("d1", "DECISION", "2024"), ("d2", "DECISION", None), ("m1", "MODULE", "2023")], "id string, type string, first_seen string")
+    df = A.decisions(e, spark.createDataFrame(rel, "type string, source_id string, target_id string"), e.select("id"))
+    want = {(d, s, role, f"{k}{j}") for d, s in (("d1", "2024"), ("d2", None)) for role, k, n in (("maker", "p", 30), ("module", "m", 200)) for j in range(n)} | {("d2", None, "supersedes", "d1")}
+    got = [tuple(r) for r in df.collect()]
+    assert set(got) == want and len(got) == len(want)
+    spark.sparkContext.setJobGroup("makers", "makers")
+    df.write.format("noop").mode("overwrite").save()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("makers") for s in tracker.getJobInfo(j).stageIds}
+    # 24,000 pairs of a decision and a maker's module, of which none is moved alone.
+    assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if tracker.getStageInfo(s)) < 20_000
