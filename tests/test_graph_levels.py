@@ -68,6 +68,13 @@ def test_a_graph_of_many_edges_is_moved_and_joined_in_few_jobs(spark):
     assert all(int(c[1:]) == int(k[1:]) // 50 * 50 for k, c in parts.items())
 
 
+def test_levels_of_many_edges_take_few_jobs(spark):
+    nodes, e = blocks(spark, 120_000)
+    e = e.localCheckpoint()
+    found, n = jobs_of(spark, "levels", lambda: G.community_levels(nodes, e).select("level", F.size("entity_ids").alias("n")).collect())
+    assert n < 40 and {r.level for r in found} == {0, 1, 2} and all(3 <= r.n <= 50 for r in found)
+
+
 def test_components_on_arrays_are_those_of_joins(spark, monkeypatch):
     e = edges(spark, [("n00", "n03"), ("n03", "n05"), ("n01", "gone"), ("gone", "n02"), ("n04", "n04"), ("n06", "n07"), ("n07", "n08"), ("n06", "n08")])
     one = {r.id: r.component for r in G.components(ids(spark, 10), e).collect()}
