@@ -7,17 +7,26 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .chunking import numbered
 
 #: Graphs of up to so many edge ends run the rounds of ``communities`` in one task (about 80 bytes each at most, in arrays).
 SMALL_GRAPH = 8_000_000
+#: Larger graphs of up to so many nodes run them over blocks of ends in many tasks; the driver holds about 60 bytes a node and resolution, a task about 30 a node.
+ARRAY_NODES = 2_000_000
+#: Edge ends of a block, about; a node's ends are in one block.
+BLOCK_ENDS = 400_000
+#: Edge ends whose moves are found at once.
+SLICE_ENDS = 1_000_000
 
 
 def projection(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -138,9 +147,16 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, min
 def communities_at(nodes: DataFrame, edges: DataFrame, resolutions: list[float], min_size: int = 3, levels: int = 4, rounds: int = 8) -> DataFrame:
     """(id, community, level): ``communities`` at each of the resolutions, numbered from 0."""
     n_edges, weight = edges.agg(F.count(F.lit(1)), F.sum("weight")).head()
-    if 0 < 2 * n_edges <= SMALL_GRAPH and weight:
-        ends = edges.select("a", "b", F.col("weight").cast("double").alias("weight")).coalesce(1)
-        names = ends.mapInArrow(_one_task(resolutions, levels, rounds), "id string, name string, level int")
+    names = None
+    if n_edges and weight:
+        edges = edges.select("a", "b", F.col("weight").cast("double").alias("weight"))
+        if 2 * n_edges <= SMALL_GRAPH:
+            # A task for each resolution; a union of single partitions would be one task, so each is a job of its own.
+            run = lambda k: cut(edges.coalesce(1).mapInArrow(_one_task(k, resolutions[k], levels, rounds), "id string, name string, level int"))
+            names = reduce(DataFrame.unionByName, _side_by_side(edges, run, range(len(resolutions))))
+        else:
+            names = _by_blocks(edges, 2 * n_edges, resolutions, levels, rounds)
+    if names is not None:
         member = nodes.select("id", F.explode(F.array(*map(F.lit, range(len(resolutions))))).alias("level"))
         member = cut(member.join(names, ["id", "level"], "left").select("id", "level", F.coalesce("name", "id").alias("community")))
         named = member.groupBy("level", "community").agg(F.min("id").alias("name"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
@@ -196,18 +212,18 @@ def _by_joins(nodes: DataFrame, edges: DataFrame, resolution: float, min_size: i
 def _read(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The ids of edges (a, b, weight) in order, and the edges by the places of their ids; -1 for null."""
     code: dict[str, int] = {}
-    none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    none = (np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0))
     parts = [none]
     for b in batches:
-        ends = [np.fromiter((-1 if x is None else code.setdefault(x, len(code)) for x in b.column(c).to_pylist()), np.int64, b.num_rows) for c in ("a", "b")]
+        ends = [np.fromiter((-1 if x is None else code.setdefault(x, len(code)) for x in b.column(c).to_pylist()), np.int32, b.num_rows) for c in ("a", "b")]
         parts.append((*ends, b.column("weight").to_numpy(zero_copy_only=False)))
     names = sorted(code)
-    rank = np.full(len(names) + 1, -1)
+    rank = np.full(len(names) + 1, -1, np.int32)
     rank[[code[x] for x in names]] = np.arange(len(names))
     return names, rank[np.concatenate([x[0] for x in parts])], rank[np.concatenate([x[1] for x in parts])], np.concatenate([x[2] for x in parts])
 
 
-def _one_task(resolutions: list[float], levels: int, rounds: int):
+def _one_task(level: int, resolution: float, levels: int, rounds: int):
     """The rounds of ``communities`` over the edges of a small graph, on arrays: (a, b, weight) -> (id, name, level).
 
     Nodes are numbered in the order of their ids, so the smallest number is the smallest id.
@@ -218,39 +234,198 @@ def _one_task(resolutions: list[float], levels: int, rounds: int):
         # Sums follow the order of the ids, whatever the order of the rows.
         ends = _summed(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w]), len(names))
         del a, b, w
-        for level, r in enumerate(resolutions):
-            member = _moved(names, *ends, r, levels, rounds)
-            for k in range(0, len(names), 10_000):
-                own = member[k : k + 10_000]
-                yield pa.RecordBatch.from_pydict({"id": names[k : k + 10_000], "name": [names[v] for v in own], "level": pa.array([level] * len(own), pa.int32())})
+        crc = np.fromiter((zlib.crc32(x.encode()) for x in names), np.uint32, len(names))
+        member = _moved(_Ends(*ends, len(names)), crc, resolution, levels, rounds)
+        for k in range(0, len(names), 10_000):
+            own = member[k : k + 10_000]
+            yield pa.RecordBatch.from_pydict({"id": names[k : k + 10_000], "name": [names[v] for v in own], "level": pa.array([level] * len(own), pa.int32())})
 
     return run
 
 
-def _moved(names: list[str], src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float, levels: int, rounds: int) -> np.ndarray:
-    """The number of the smallest member of each node's community; edge ends in order of (src, dst)."""
-    ids, member, m2 = np.arange(len(names)), np.arange(len(names)), w.sum()
+def _side_by_side(df: DataFrame, run, each) -> list:
+    """What ``run`` gives for each, its Spark jobs at the same time."""
+    with ThreadPoolExecutor(len(each)) as pool:
+        return list(pool.map(inheritable_thread_target(df.sparkSession)(run), each))
+
+
+def _by_blocks(edges: DataFrame, n_ends: int, resolutions: list[float], levels: int, rounds: int) -> DataFrame | None:
+    """(id, name, level): the rounds of ``communities`` over blocks of edge ends, in many tasks; None of too many nodes.
+
+    The driver holds the communities of the nodes, the tasks find the moves of the nodes of their blocks.
+    """
+    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    nodes = cut(numbered(ids, [F.col("id")]).select("id", F.col("pos").alias("v"), F.crc32("id").alias("crc")))
+    n = nodes.count()
+    if n > ARRAY_NODES:
+        return None
+    place = nodes.select("v", "crc").toArrow()
+    crc = np.empty(n, np.uint32)
+    crc[place["v"].to_numpy()] = place["crc"].to_numpy()
+    del place
+    a, b = (nodes.select(F.col("id").alias(c), F.col("v").cast("int").alias(f"v{c}")) for c in "ab")
+    both = F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), "weight") for x, y in (("va", "vb"), ("vb", "va"))])
+    ends = edges.join(a, "a").join(b, "b").select(F.explode(both).alias("e")).select("e.*")
+    n_blocks = -(-n_ends // BLOCK_ENDS)
+    blocks = ends.groupBy((F.col("src") % n_blocks).alias("block")).applyInArrow(_block_of_rows(n), _BLOCK)
+    graph = _Blocks(cut(blocks), n, n_blocks)
+    members = _side_by_side(edges, lambda r: _moved(graph, crc, r, levels, rounds), resolutions)
+    sent = edges.sparkSession.sparkContext.broadcast(np.stack(members).astype(np.int32))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            v = x.column("v").to_numpy()
+            for level, m in enumerate(sent.value):
+                yield pa.RecordBatch.from_pydict({"id": x.column("id"), "v": m[v].astype(np.int64), "level": pa.array(np.full(len(v), level, np.int32))})
+
+    return nodes.select("id", "v").mapInArrow(places, "id string, v long, level int").join(nodes.select("v", F.col("id").alias("name")), "v").select("id", "name", "level")
+
+
+#: A block: the ends (src, dst, weight) of its nodes in order, as bytes of int32, int32 and float64.
+_BLOCK = "src binary, dst binary, w binary"
+
+
+def _block(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> pa.Table:
+    return pa.table({"src": [src.astype(np.int32).tobytes()], "dst": [dst.astype(np.int32).tobytes()], "w": [w.tobytes()]}, pa.schema([(c, pa.binary()) for c in ("src", "dst", "w")]))
+
+
+def _block_of_rows(n: int):
+    def run(rows: pa.Table) -> pa.Table:
+        return _block(*_summed(rows["src"].to_numpy(), rows["dst"].to_numpy(), rows["weight"].to_numpy(), n))
+
+    return run
+
+
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for x in batches:
+        for row in range(x.num_rows):
+            yield tuple(np.frombuffer(x.column(c)[row].as_buffer(), t) for c, t in (("src", np.int32), ("dst", np.int32), ("w", np.float64)))
+
+
+class _Ends:
+    """Edge ends of ``n`` nodes in order of (src, dst), as arrays."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int) -> None:
+        self.ends, self.n = (src.astype(np.int32), dst.astype(np.int32), w), n
+
+    def degrees(self) -> np.ndarray:
+        return np.bincount(self.ends[0], self.ends[2], self.n)
+
+    def moves(self, *state) -> list[tuple[np.ndarray, np.ndarray]]:
+        return _moves(*self.ends, *state)
+
+    def merged(self, label: np.ndarray, n: int) -> _Ends:
+        src, dst, w = self.ends
+        label = label.astype(np.int32)
+        return _Ends(*_summed(label[src], label[dst], w, n), n)
+
+
+class _Blocks:
+    """The same as rows of ``_BLOCK``."""
+
+    def __init__(self, rows: DataFrame, n: int, n_blocks: int) -> None:
+        self.rows, self.n, self.n_blocks = rows, n, n_blocks
+
+    def _map(self, each, shared, schema: str) -> tuple[DataFrame, Broadcast]:
+        """The tables of the schema that ``each``(shared, src, dst, w) gives for each block, and what to destroy when they are read."""
+        sent = self.rows.sparkSession.sparkContext.broadcast(shared)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ends in _each_block(batches):
+                for t in each(sent.value, *ends):
+                    yield from t.to_batches()
+
+        return self.rows.mapInArrow(run, schema), sent
+
+    def _pairs(self, each, shared) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of arrays (nodes, values of the type of ``shared[0]``) that ``each`` gives, at the driver."""
+
+        def run(shared, *ends):
+            for v, x in each(shared, *ends):
+                yield pa.table({"v": [v.astype(np.int32).tobytes()], "x": [x.tobytes()]}, pa.schema([("v", pa.binary()), ("x", pa.binary())]))
+
+        found, sent = self._map(run, shared, "v binary, x binary")
+        rows = found.collect()
+        sent.destroy()
+        return [(np.frombuffer(r.v, np.int32), np.frombuffer(r.x, shared[0].dtype)) for r in rows]
+
+    def degrees(self) -> np.ndarray:
+        k = np.zeros(self.n)
+        for v, x in self._pairs(_degrees, (k[:0],)):
+            k[v] = x
+        return k
+
+    def moves(self, c: np.ndarray, *state) -> list[tuple[np.ndarray, np.ndarray]]:
+        return self._pairs(lambda shared, *ends: _moves(*ends, *shared), (c.astype(np.int32), *state))
+
+    def merged(self, label: np.ndarray, n: int) -> _Blocks:
+        n_blocks = self.n_blocks
+
+        def parts(label, src, dst, w):
+            s, d, x = _summed(label[src], label[dst], w, n)
+            to, own = s % n_blocks, int(src[0])
+            for t in np.unique(to):
+                at = to == t
+                yield _block(s[at], d[at], x[at]).append_column("block", pa.array([int(t)])).append_column("first", pa.array([own]))
+
+        def sums(rows: pa.Table) -> pa.Table:
+            each = list(_each_block(rows.sort_by("first").to_batches()))
+            return _block(*_summed(*(np.concatenate([x[k] for x in each]) for k in range(3)), n))
+
+        pieces, sent = self._map(parts, label.astype(np.int32), _BLOCK + ", block long, first long")
+        rows = cut(pieces.groupBy("block").applyInArrow(sums, _BLOCK))
+        sent.destroy()
+        return _Blocks(rows, n, n_blocks)
+
+
+def _degrees(shared, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    first = _starts(src)
+    yield src[first], np.bincount(np.repeat(np.arange(len(first)), np.diff(np.append(first, len(src)))), w)
+
+
+def _moves(
+    src: np.ndarray, dst: np.ndarray, w: np.ndarray, c: np.ndarray, half: np.ndarray, k: np.ndarray, tot: np.ndarray, m2: float, resolution: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(nodes, communities) of the nodes of ``half`` that move. Ends in order of (src, dst), a node's all there; ``tot`` by community."""
+    first = _starts(src)
+    # Whole nodes at a time.
+    stops = np.unique(np.append(first[np.searchsorted(first, np.arange(0, len(src), SLICE_ENDS), "right") - 1], len(src)))
+    for lo, hi in zip(stops, stops[1:]):
+        s = src[lo:hi]
+        own = s[_starts(s)]
+        own = own[half[own]]
+        at = half[s] & (s != dst[lo:hi])
+        # The community that a node is in is always a candidate, also without a neighbour in it.
+        to = np.concatenate([c[dst[lo:hi][at]], c[own]])
+        v, q, x = _summed(np.concatenate([s[at], own]), to, np.concatenate([w[lo:hi][at], np.zeros(len(own))]), len(c))
+        if not len(v):
+            continue
+        mine = q == c[v]
+        gain = np.round(x - resolution * k[v] * (tot[q] - np.where(mine, k[v], 0.0)) / m2, 9)
+        first_of = _starts(v)
+        best = np.maximum.reduceat(gain, first_of)
+        top = np.flatnonzero(gain == np.repeat(best, np.diff(np.append(first_of, len(v)))))
+        top = top[_starts(v[top])]
+        better = best > gain[mine]
+        yield v[first_of][better], q[top][better].astype(c.dtype)
+
+
+def _moved(graph: _Ends | _Blocks, crc: np.ndarray, resolution: float, levels: int, rounds: int) -> np.ndarray:
+    """The number of the smallest member of each node's community. ``crc``: of the nodes' ids."""
+    ids, member, m2 = np.arange(len(crc)), np.arange(len(crc)), None
     for level in range(levels):
         n = len(ids)
-        k, c, any_move = np.bincount(src, w, n), np.arange(n), False
+        k, c, any_move = graph.degrees(), np.arange(n), False
+        m2 = k.sum() if m2 is None else m2
         for r in range(rounds):
             if r % 2 == 0:
-                odd = np.fromiter((zlib.crc32(f"{names[v]}:{r // 2 + 100 * level}".encode()) % 2 for v in ids), np.int64, n)
-            half = odd == r % 2
-            tot, own = np.bincount(c, k, n), np.flatnonzero(half)
-            at = half[src] & (src != dst)
-            # The community that a node is in is always a candidate, also without a neighbour in it.
-            v, q, x = _summed(np.concatenate([src[at], own]), np.concatenate([c[dst[at]], c[own]]), np.concatenate([w[at], np.zeros(len(own))]), n)
-            mine = q == c[v]
-            gain = np.round(x - resolution * k[v] * (tot[q] - np.where(mine, k[v], 0.0)) / m2, 9)
-            first = _starts(v)
-            best = np.maximum.reduceat(gain, first) if len(v) else gain
-            top = np.flatnonzero(gain == np.repeat(best, np.diff(np.append(first, len(v)))))
-            top = top[_starts(v[top])]
-            better = best > gain[mine]
-            c[v[first][better]] = q[top][better]
-            any_move |= bool(better.any())
-            if not better.any() and r % 2:
+                odd = _crc32_on(crc[ids], f":{r // 2 + 100 * level}") % 2
+            found = list(graph.moves(c, odd == r % 2, k, np.bincount(c, k, n), m2, resolution))
+            for v, to in found:
+                c[v] = to
+            moved = any(len(v) for v, _ in found)
+            any_move |= moved
+            if not moved and r % 2:
                 break
         if not any_move:
             break
@@ -258,10 +433,23 @@ def _moved(names: list[str], src: np.ndarray, dst: np.ndarray, w: np.ndarray, re
         np.minimum.at(name, c, np.arange(n))
         kept, label = np.unique(name[c], return_inverse=True)
         member, ids = label[member], ids[kept]
-        src, dst, w = _summed(label[src], label[dst], w, len(ids))
+        if level + 1 < levels:
+            graph = graph.merged(label, len(ids))
     return ids[member]
 
 
+#: The table of CRC-32 by bytes.
+_CRC = np.array([~zlib.crc32(bytes([k ^ 255])) & 0xFFFFFFFF ^ 0xFFFFFF for k in range(256)], np.uint32)
+
+
+def _crc32_on(crc: np.ndarray, text: str) -> np.ndarray:
+    """CRC-32 of texts of the given CRC-32 followed by ``text``."""
+    crc = ~crc
+    for x in text.encode():
+        crc = _CRC[(crc ^ np.uint32(x)) & np.uint32(255)] ^ (crc >> np.uint32(8))
+    return ~crc
+
+
 def _starts(v: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     return np.flatnonzero(np.append(True, v[1:] != v[:-1])[: len(v)])
@@ -271,11 +459,16 @@ def _summed(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[np.nda
     """The weights of equal pairs of numbers below ``n``, added up in order of the pairs."""
     if not len(a):
         return a, b, w
-    key = a * n + b
+    key = a.astype(np.int64)
+    key *= n
+    key += b
+    del a, b
     order = np.argsort(key, kind="stable")
-    key = key[order]
+    key, w = key[order], w[order]
+    del order
     first = _starts(key)
-    return key[first] // n, key[first] % n, np.add.reduceat(w[order], first)
+    key, w = key[first], np.add.reduceat(w, first)
+    return key // n, key % n, w
 
 
 def community_levels(

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.similarity import similar_names
+from ..functions.text import norm_key
 from ..operators import chunking, extraction, graph_algorithms as G, resolution
+from ..operators.graph_build import newest
 from ..session import cut, table
 from .build import module_sql
 from .questions import W, communities, entities, relations
@@ -15,7 +17,10 @@ START = "module:src/api"
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
-    return G.projection(entities(s, d), relations(s, d))
+    # The newest relations, of which only ends and weight are shuffled.
+    cols = ["source_id", "target_id", "weight"]
+    rows = table(s, d, "relations").select(norm_key("id").alias("id"), *[norm_key(c).alias(c) for c in cols[:2]], "weight", "loaded_at")
+    return G.projection(entities(s, d), newest(rows, "id", F.col("loaded_at"), cols).where("source_id is not null and target_id is not null"))
 
 
 def graph_projection(s, d):

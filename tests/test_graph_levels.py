@@ -1,3 +1,6 @@
+import zlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +78,36 @@ def test_levels_of_many_edges_take_few_jobs(spark):
     assert n < 40 and {r.level for r in found} == {0, 1, 2} and all(3 <= r.n <= 50 for r in found)
 
 
+def test_a_graph_too_large_for_one_task_is_moved_in_blocks(spark, monkeypatch):
+    nodes, e = blocks(spark, 3_000)
+    # A hub, and ends of uneven weight.
+    hub = spark.range(0, 1_500, 3).select(F.lit("hub").alias("a"), F.format_string("n%06d", "id").alias("b"), (F.col("id") % 7 / 5).alias("weight"))
+    nodes, e = nodes.unionByName(spark.createDataFrame([("hub",), ("alone",)], "id string")), e.unionByName(hub).localCheckpoint()
+    found = lambda: sorted(map(tuple, G.communities_at(nodes, e, [0.5, 1.0, 2.0], 1).select("level", "id", "community").collect()))
+    one = found()
+    assert len(one) == 3 * 1_502
+    monkeypatch.setattr(G, "SMALL_GRAPH", 0)
+    monkeypatch.setattr(G, "BLOCK_ENDS", 900)
+    joins, _ = G._by_joins, monkeypatch.setattr(G, "_by_joins", None)
+    assert found() == one
+    # Too many nodes for the driver: rounds of joins.
+    monkeypatch.setattr(G, "_by_joins", joins)
+    monkeypatch.setattr(G, "ARRAY_NODES", 5)
+    small = edges(spark, clique(["n00", "n01", "n02"]) + clique(["n03", "n04", "n05"]) + [("n02", "n03")])
+    assert {r.id: r.community for r in G.communities(ids(spark, 6), small, rounds=4, levels=2).collect()} == {f"n{k:02}": "n00" if k < 3 else "n03" for k in range(6)}
+
+
+def test_moves_don_t_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 60, (2, 400))
+    ends = G._summed(np.append(a, b), np.append(b, a), np.ones(800), 60)
+    crc = np.array([zlib.crc32(b"n%d" % k) for k in range(60)], np.uint32)
+    assert [zlib.crc32(b"n%d:103" % k) for k in range(60)] == list(G._crc32_on(crc, ":103"))
+    whole = G._moved(G._Ends(*ends, 60), crc, 1.0, 4, 8)
+    monkeypatch.setattr(G, "SLICE_ENDS", 7)
+    assert (G._moved(G._Ends(*ends, 60), crc, 1.0, 4, 8) == whole).all() and 1 < len(set(whole)) < 60
+
+
 def test_components_on_arrays_are_those_of_joins(spark, monkeypatch):
     e = edges(spark, [("n00", "n03"), ("n03", "n05"), ("n01", "gone"), ("gone", "n02"), ("n04", "n04"), ("n06", "n07"), ("n07", "n08"), ("n06", "n08")])
     one = {r.id: r.component for r in G.components(ids(spark, 10), e).collect()}
